@@ -10,10 +10,82 @@ from pyspark.sql import functions as F
 from tessera.shipping import ship
 
 
+SQL = {
+    "op7_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, length(coalesce(text, '')) AS points,
+                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+            FROM documents
+        ), r AS (
+            SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place,
+                   count(*) OVER (PARTITION BY text_sha256) AS group_size
+            FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)
+        )
+        SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r
+    """,
+    "op10_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), w AS (
+            SELECT doc_id, start, list_slice(words, start, start + 19) AS win
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM d WHERE len(words) >= 20)
+        ), again AS (
+            SELECT doc_id, start FROM (
+                SELECT doc_id, start, row_number() OVER (PARTITION BY win ORDER BY doc_id, start) AS place FROM w
+            ) WHERE place > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM again
+        ), cut AS (
+            SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
+        ), kept AS (
+            SELECT d.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+                   list_filter(words, (x, i) -> places IS NULL OR NOT list_contains(places, i)) AS rest
+            FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
+        )
+        SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept
+    """,
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose sets of 5-word shingles have a similarity of 0.8 or more, as components."""
+    from tessera.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, by the automaton of the merges."""
+    from tessera.llm.bpe_automaton import token_digests
+
+    return token_digests(_table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that are identical without white space."""
+    from tessera.llm.exact_dedup import exact_groups
+
+    return exact_groups(_table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 tokens, mixed by source in proportion to the sources' tokens."""
+    from tessera.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrow files of token rows, written in id order and read back."""
+    from tessera.llm.token_files import read_back, write_tokens
+
+    return read_back(write_tokens(_table(spark, sf_dir, "documents")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 20 words over whole texts; words of windows that also start earlier go."""
     from tessera.llm.substring_dedup import remove_repeats
@@ -24,9 +96,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+        "op6_bpe_automaton": op6_bpe_automaton,
+        "op7_exact_dedup": op7_exact_dedup,
+        "op8_packing": op8_packing,
+        "op9_token_files": op9_token_files,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
