@@ -191,7 +191,7 @@ class _Join:
         classes = materialise(classes.join(groups, "gkey").select("cid", "n", "gkey", "rep", "size", F.col("head.cid").alias("gid")), "classes")
         heads = classes.filter("cid = gid").select("cid", F.col("rep").alias("doc_id"))
         posts = full.join(heads, ["cid", "doc_id"], "left_semi").select("cid", "n", F.explode(F.arrays_zip("prefix", "weight")).alias("x"))
-        segments = F.when(F.col("x.weight") > 13, F.shiftleft(F.lit(1), F.col("x.weight").cast("int") - 13)).otherwise(F.lit(1))
+        segments = F.when(F.col("x.weight") > 13, F.pow(F.lit(2.0), F.col("x.weight").cast("int") - 13).cast("int")).otherwise(F.lit(1))
         posts = posts.select(F.col("x.prefix").alias("token"), F.pmod(F.xxhash64("cid"), segments).cast("int").alias("segment"), (segments > 1).alias("long"), F.col("cid").alias("gid"), "n")
         by = Window.partitionBy("token", "segment").orderBy("n", "gid")
         posts = posts.withColumn("prev", F.lag(F.struct("gid", "n")).over(by)).withColumn("next", F.lead("gid").over(by))
