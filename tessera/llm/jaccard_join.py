@@ -35,7 +35,9 @@ SHINGLE = 5
 PERCENT = 80
 CHUNK_BYTES = 8 << 20
 #: Cells of the table of frequent shingles, and bits of the table of documents to read again.
-SKETCH_BITS = 22
+SKETCH_BITS = 24
+#: A shingle in so many prefixes moves towards the end of the order.
+OFTEN = 3
 WANTED_BITS = 24
 #: A list of a shingle that is seen more often is split into segments of about this many rows.
 SEGMENT_ROWS = 1 << 13
@@ -72,6 +74,26 @@ def _frequent(width: int):
     return run
 
 
+def _prefix_tokens(width: int, percent: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        for table in K.text_chunks(batches, "text", CHUNK_BYTES):
+            h, lo, hi = _shingles(K.as_bytes(table["text"]), width)
+            parts = [_prefix(np.unique(h[a:b]), frequent, percent)[0] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if b > a]
+            if parts:
+                value, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
+
+    return run
+
+
+def _prefix(u: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the global order, by frequency class and hash, and their classes."""
+    cls = frequent[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    first = np.argsort(cls, kind="stable")[: len(u) - _need(len(u), percent) + 1]
+    return u[first], cls[first]
+
+
 def _need(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
@@ -94,12 +116,10 @@ def _sets(width: int, percent: int, shared):
                     lens.append(0)
                     continue
                 cid.append(_class_id(u))
-                cls = frequent[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                first = np.argsort(cls, kind="stable")[: n - _need(n, percent) + 1]
-                p = u[first]
+                p, cls = _prefix(u, frequent, percent)
                 group.append(_class_id(np.append(p, np.uint64(n))))
                 prefix.append(p)
-                weight.append(cls[first])
+                weight.append(cls)
                 lens.append(len(p))
             offsets = pa.array(np.concatenate(([0], np.cumsum(lens))).astype(np.int32))
             flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
@@ -155,8 +175,18 @@ class _Join:
         self.docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def shingle(self) -> DataFrame:
+        """Sets in an order that knows which shingles are frequent.
+
+        Repeats within chunks give a first order; in it, how many prefixes a shingle is in gives
+        the final one. Any order is right, as long as all documents have the same.
+        """
+        level = F.floor(F.log2(F.col("n").cast("double"))).alias("value")
         seen = self.docs.select("text").mapInArrow(_frequent(self.width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-        table = sketch.dense_table(seen.select("slot", F.floor(F.log2(F.col("n").cast("double"))).alias("value")), SKETCH_BITS, pack=False)
+        table = sketch.dense_table(seen.select("slot", level), SKETCH_BITS, pack=False)
+        shared = self.spark.sparkContext.broadcast(table)
+        often = self.docs.select("text").mapInArrow(_prefix_tokens(self.width, self.percent, shared), "token long, n long")
+        often = often.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+        table = np.maximum(table, sketch.dense_table(often.select(F.shiftrightunsigned("token", 64 - SKETCH_BITS).alias("slot"), level), SKETCH_BITS, pack=False))
         shared = self.spark.sparkContext.broadcast(table)
         rows = self.docs.mapInArrow(_sets(self.width, self.percent, shared), "doc_id long, n long, cid long, gkey long, prefix array<long>, weight array<tinyint>")
         return materialise(rows, "sets")
@@ -179,10 +209,14 @@ class _Join:
 
     def least_common(self, n: str, m: str):
         """How many shingles of the prefixes sets of n and m shingles must share to reach the similarity."""
-        both = F.ceil((F.col(n) + F.col(m)) * self.percent / F.lit(100.0 + self.percent) - 1e-9)
+        both = self.overlap(n, m)
         rest = F.greatest(*[F.ceil(F.col(x) * self.percent / F.lit(100.0) - 1e-9) - 1 for x in (n, m)])
         return F.greatest(F.lit(1), both - rest)
 
+    def overlap(self, n: str, m: str):
+        """How many shingles sets of n and m shingles must have in common."""
+        return F.ceil((F.col(n) + F.col(m)) * self.percent / F.lit(100.0 + self.percent) - 1e-9)
+
     def components(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """classes (cid, n, gkey, rep, size, comp) and the verified links of both passes."""
         full = sets.filter("n > 0")
@@ -190,17 +224,20 @@ class _Join:
         groups = classes.groupBy("gkey").agg(F.min(F.struct("rep", "cid")).alias("head"))
         classes = materialise(classes.join(groups, "gkey").select("cid", "n", "gkey", "rep", "size", F.col("head.cid").alias("gid")), "classes")
         heads = classes.filter("cid = gid").select("cid", F.col("rep").alias("doc_id"))
-        posts = full.join(heads, ["cid", "doc_id"], "left_semi").select("cid", "n", F.explode(F.arrays_zip("prefix", "weight")).alias("x"))
+        posts = full.join(heads, ["cid", "doc_id"], "left_semi").select("cid", "n", F.size(F.filter("weight", lambda w: w == 0)).alias("rare"), F.posexplode(F.arrays_zip("prefix", "weight")).alias("pos", "x"))
         segments = F.when(F.col("x.weight") > 13, F.pow(F.lit(2.0), F.col("x.weight").cast("int") - 13).cast("int")).otherwise(F.lit(1))
-        posts = posts.select(F.col("x.prefix").alias("token"), F.pmod(F.xxhash64("cid"), segments).cast("int").alias("segment"), (segments > 1).alias("long"), F.col("cid").alias("gid"), "n")
-        by = Window.partitionBy("token", "segment").orderBy("n", "gid")
+        posts = posts.select(F.col("x.prefix").alias("token"), F.pmod(F.xxhash64("cid"), segments).cast("int").alias("segment"), (segments > 1).alias("long"), F.col("cid").alias("gid"), "n", "pos", "rare")
+        # In a list, sets with few rare shingles come first: what others were copied from, or is closest to it.
+        order = ["rare", "n", "gid"]
+        by = Window.partitionBy("token", "segment").orderBy(*order)
         posts = posts.withColumn("prev", F.lag(F.struct("gid", "n")).over(by)).withColumn("next", F.lead("gid").over(by))
+        posts = posts.withColumn("head", F.first(F.struct("gid", "n")).over(by))
         posts = materialise(posts.filter("prev is not null or next is not null or long"), "posts")
-        # Neighbours in a list, and neighbours among the heads of the segments of a long list.
-        near = posts.filter("prev is not null").select("token", F.col("prev.gid").alias("a"), F.col("prev.n").alias("na"), F.col("gid").alias("b"), F.col("n").alias("nb"))
-        far = posts.filter("long and prev is null").withColumn("prev", F.lag(F.struct("gid", "n")).over(Window.partitionBy("token").orderBy("n", "gid")))
-        near = near.union(far.filter("prev is not null").select("token", F.col("prev.gid"), F.col("prev.n"), "gid", "n"))
-        near = near.filter((F.col("na") * 100 >= F.col("nb") * self.percent) & (F.col("a") != F.col("b")))
+        # Neighbours in a list, the head of a list with all others, and heads of the segments of a long list.
+        near = posts.filter("prev is not null").select(F.explode(F.array_distinct(F.array("prev", "head"))).alias("p"), "gid", "n")
+        far = posts.filter("long and prev is null").withColumn("p", F.lag(F.struct("gid", "n")).over(Window.partitionBy("token").orderBy(*order)))
+        near = near.union(far.filter("p is not null").select("p", "gid", "n")).select(F.col("p.gid").alias("a"), F.col("p.n").alias("na"), F.col("gid").alias("b"), F.col("n").alias("nb"))
+        near = near.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent) & (F.col("a") != F.col("b")))
         near = near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         near = near.filter(F.col("c") * 4 >= self.least_common("na", "nb")).select("a", "b")
         inside = classes.withColumn("a", F.lag("cid").over(Window.partitionBy("gkey").orderBy("rep", "cid"))).filter("a is not null").select("a", F.col("cid").alias("b"))
@@ -216,14 +253,14 @@ class _Join:
     def across(self, posts: DataFrame, classes: DataFrame) -> DataFrame:
         """All pairs of classes of different components that share enough prefix shingles, and all such pairs of a group."""
         members = classes.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("members"))
-        rows = posts.select("token", "gid", "n").join(members.select("gid", "comp"), "gid")
+        rows = posts.select("token", "gid", "n", "pos").join(members.select("gid", "comp"), "gid")
         mixed = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
         rows = materialise(rows.join(mixed, "token", "left_semi"), "mixed")
-        a = rows.select("token", F.col("gid").alias("ga"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-        b = rows.select("token", F.col("gid").alias("gb"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-        pairs = a.join(b, "token").filter((F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent))
-        pairs = pairs.groupBy("ga", "ca", "gb", "cb").agg(F.count(F.lit(1)).alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        pairs = pairs.filter(F.col("c") >= self.least_common("na", "nb")).select("ga", "ca", "gb", "cb")
+        a = rows.select("token", F.col("gid").alias("ga"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+        b = rows.select("token", F.col("gid").alias("gb"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+        # Behind the first shingle that they share, both sets must still have room for the overlap.
+        room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= self.overlap("na", "nb")
+        pairs = a.join(b, "token").filter((F.col("ca") < F.col("cb")) & room).select("ga", "ca", "gb", "cb").distinct()
         split = members.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("gid")
         some = members.join(split, "gid", "left_semi")
         own = some.select(F.col("gid").alias("ga"), F.col("comp").alias("ca")).join(some.select("gid", F.col("comp").alias("cb")), F.col("ga") == F.col("gid")).filter("ca < cb")
