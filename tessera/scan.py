@@ -11,6 +11,7 @@ from tessera.model import Model, file_part
 from tessera.operators import binding as B
 from tessera.operators import http as H
 from tessera.operators import rollups as R
+from tessera.parse import braces
 from tessera.parse import python_ast as P
 from tessera.sources import documents as M
 from tessera.sources import files as FS
@@ -28,15 +29,15 @@ def tracked_texts(spark: SparkSession, root: str, workspace: str = "root", ignor
 def scan(files: DataFrame, model_id: str = "worktree") -> Model:
     """A model of files (workspace_id, path, content).
 
-    Python is parsed here; facts of other languages can be joined in with ``binding``. All
-    texts are read once; what is parsed is written once, and every edge family is a join of it.
+    Python, JavaScript, TypeScript, Vue and C# are parsed; facts of other languages can be
+    joined in with ``binding``. All texts are read once; what is parsed is written once, and every edge family is a join of it.
     """
     spark = files.sparkSession
     first = F.substring_index(F.decode(F.substring("content", 1, 200), "utf-8"), "\n", 1)
     base = files.withColumns({"id": S.file_id("workspace_id", "path"), "r": FS.classify(F.col("path"), first), "content_hash": S.blob_id("content"), "text": F.try_validate_utf8(F.col("content").cast("string"))})
     base = base.select("id", "workspace_id", "path", "content_hash", F.col("r.role").alias("role"), F.col("r.lang").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     base = materialise(base.withColumn("loc", F.size(F.split(F.rtrim(F.col("text"), F.lit("\n")), "\n"))), "files")
-    parsed = materialise(P.parse_files(base.filter("lang = 'python'")), "parsed")
+    parsed = materialise(P.parse_files(base.filter("lang = 'python'")).unionByName(braces.parse_files(base)), "parsed")
     symbols = materialise(P.symbols(parsed), "symbols")
     place = base.select(F.col("id").alias("file"), "path", "workspace_id", "role", "lang")
     ids = symbols.select("file", F.col("qualname").alias("src"), F.col("id").alias("owner")).dropDuplicates(["file", "src"])
@@ -90,7 +91,10 @@ def scan(files: DataFrame, model_id: str = "worktree") -> Model:
     routers = facts("router").select(F.concat("file", F.lit("#"), "name").alias("router"), F.coalesce("value", F.lit("")).alias("prefix"))
     mounts = facts("mount").join(deep.select(F.col("src").alias("file"), F.col("value").alias("child_name"), "of").join(found.select(F.col("src").alias("file"), F.col("spec").alias("of"), F.col("dst").alias("child_file")), ["file", "of"]), ["file"], "left").filter(F.col("child_name").isNull() | (F.substring_index("name", ".", 1) == F.col("child_name")))
     mounts = mounts.select(F.concat("file", F.lit("#"), "extra").alias("parent"), F.concat(F.coalesce("child_file", "file"), F.lit("#"), F.substring_index("name", ".", -1)).alias("child"), F.col("value").alias("extra")).distinct()
-    routes = facts("route").select(F.concat("file", F.lit("#"), F.when(F.col("src") == "", F.coalesce("extra", F.lit(""))).otherwise(F.col("src"))).alias("handler"), F.col("name").alias("method"), F.col("value").alias("path"), F.concat("file", F.lit("#"), F.coalesce("extra", F.lit(""))).alias("router"))
+    side = F.split(F.coalesce("extra", F.lit("")), r"\|")  # of a decorator the router; of a call router|handler
+    given = F.when(F.size(side) > 1, side[1]).when(F.col("src") == "", side[0]).otherwise(F.col("src"))
+    handler = F.when(given == "", F.col("owner")).otherwise(F.concat("file", F.lit("#"), given))
+    routes = facts("route").select(handler.alias("handler"), F.col("name").alias("method"), F.col("value").alias("path"), F.concat("file", F.lit("#"), side[0]).alias("router"))
     full = materialise(H.full_routes(routes, H.expand_mounts(routers, mounts)), "routes")
     wanted = facts("client").select(F.col("owner").alias("caller"), F.col("name").alias("method"), F.col("value").alias("path"))
     matched = materialise(H.match_calls(wanted, full), "http")

@@ -8,6 +8,8 @@ FILES = {
     "app/client.py": "import requests\n\ndef fetch(i):\n    return requests.get(f'/v1/users/{i}')\n",
     "tests/test_store.py": "from app.store import Store\n\ndef test_load():\n    assert Store().load() is None\n",
     "tests/test_none.py": "def test_nothing():\n    pass\n",
+    "web/api.ts": "import { url } from './base';\n\nexport function load(id: string) {\n  return fetch(`/v1/users/${id}`);\n}\n",
+    "web/base.ts": "export const url = () => { return process.env.DSN ?? 'x'; };\n",
     "db/001.sql": "CREATE TABLE users (id int PRIMARY KEY, a text);",
     "README.md": "# App\n\nSee `app/store.py` and `fetch`.\n",
     "bad.py": "def (\n",
@@ -25,7 +27,7 @@ def test_scan(spark):
         ("w:app/api.py", "w:app/store.py", "imports"), ("w:tests/test_store.py", "w:app/store.py", "imports"), ("w:app/api.py#users", "w:app/api.py#make", "calls"), ("w:app/api.py#make", "w:app/store.py#Store", "calls"),
         ("w:app/store.py#Store.load", "w:app/store.py#Store.query", "calls"), ("w:tests/test_store.py#test_load", "w:app/store.py#Store", "tests"), ("w:app/client.py#fetch", "w:app/api.py#users", "http_calls"),
         ("w:app/store.py#Store.query", "env:DSN", "reads_env"), ("w:app/store.py", "table:users", "reads_table"), ("w:README.md", "w:app/store.py", "mentions"), ("w:README.md", "w:app/client.py#fetch", "mentions"),
-        ("w:app/api.py", "package:app", "part_of"), ("package:app", "external:AWS", "depends_on"),
+        ("w:app/api.py", "package:app", "part_of"), ("w:web/api.ts#load", "w:app/api.py#users", "http_calls"), ("w:web/api.ts", "w:web/base.ts", "imports"), ("w:web/base.ts#url", "env:DSN", "reads_env"), ("package:app", "external:AWS", "depends_on"),
     ]:
         assert e in edges, e
     assert edges["w:app/store.py#Store.load", "w:app/store.py#Store.query", "calls"]["confidence"] == 0.6
