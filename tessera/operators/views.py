@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.model import Model
 
 
 def database(columns: DataFrame, keys: DataFrame, uses: DataFrame) -> DataFrame:
@@ -49,3 +50,55 @@ def to_markdown(df: DataFrame, limit: int = 100) -> str:
 
 def to_text(df: DataFrame, limit: int = 100) -> str:
     return "\n".join("  ".join("" if x is None else str(x) for x in r) for r in df.limit(limit).toLocalIterator())
+
+
+# --- concept map ----------------------------------------------------------------------------------
+
+
+def boxes(model: Model) -> DataFrame:
+    """(box, file, via): the concept of each production file, else its deployable or package, else its folder."""
+    from tessera.operators.binding import containers_of
+
+    files = model.files().filter("role = 'code'").select("id", "parent_id")
+    owned = model.links("owns").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("concept"))
+    rest = containers_of(files, model.links("part_of"), model.kind("deployable", "package").select("id", "kind")).withColumnsRenamed({"file": "id"})
+    return files.join(owned, "id", "left").join(rest, "id").select(F.coalesce("concept", "container").alias("box"), F.col("id").alias("file"), F.when(F.col("concept").isNotNull(), "concept").otherwise("container").alias("via"))
+
+
+def concept_map(model: Model) -> dict[str, DataFrame]:
+    """Boxes with sizes, tests, environment and HTTP calls, and what joins them: imports and calls by weight, and HTTP."""
+    from tessera.operators.rollups import pair_weights
+
+    box = boxes(model)
+    one = box.select("file", "box")
+    of = lambda column, name: F.substring_index(column, "#", 1).alias(name)
+    symbols = model.kind("symbol").select(of("id", "file")).join(one, "file").groupBy("box").agg(F.count(F.lit(1)).alias("symbols"))
+    tests = model.links("tests").select("src", of("dst", "file")).join(one, "file").groupBy("box").agg(F.countDistinct("src").alias("tests"))
+    env = model.links("reads_env").select("dst", of("src", "file")).join(one, "file").groupBy("box").agg(F.sort_array(F.collect_set(F.substring_index("dst", ":", -1))).alias("env"))
+    sizes = box.groupBy("box", "via").agg(F.count(F.lit(1)).alias("files"))
+    pairs = pair_weights(model).unionByName(model.links("http_calls").select(of("src", "src"), of("dst", "dst"), "kind", "weight"))
+    a, b = one.withColumnsRenamed({"file": "src", "box": "from_box"}), one.withColumnsRenamed({"file": "dst", "box": "to_box"})
+    links = pairs.join(a, "src").join(b, "dst").filter("from_box <> to_box").groupBy("from_box", "to_box", "kind").agg(F.sum("weight").alias("weight"))
+    return {"boxes": sizes.join(symbols, "box", "left").join(tests, "box", "left").join(env, "box", "left").na.fill(0, ["symbols", "tests"]), "links": links}
+
+
+def symbol_details(model: Model) -> DataFrame:
+    """Per outermost symbol: tests of it or what is inside it with their worst result, and its coverage."""
+    from tessera.operators.rollups import symbol_coverage
+
+    top = model.kind("symbol").select("id", F.concat(F.substring_index("id", "#", 1), F.lit("#"), F.substring_index(F.substring_index("id", "#", -1), ".", 1)).alias("top"))
+    rank = F.when(F.col("status") == "failed", 2).when(F.col("status") == "skipped", 1).otherwise(0)
+    worst = model.results.groupBy(F.col("test_node_id").alias("src")).agg(F.max(rank).alias("rank"))
+    linked = model.links("tests").join(top, F.col("dst") == F.col("id")).select("src", "top").distinct().join(worst, "src", "left")
+    tests = linked.groupBy("top").agg(F.count(F.lit(1)).alias("tests"), F.max("rank").alias("rank"))
+    state = F.when(F.col("rank") == 2, "failed").when(F.col("rank") == 1, "skipped").when(F.col("rank") == 0, "passed")
+    shown = top.filter("id = top").select("top")
+    return shown.join(tests, "top", "left").join(symbol_coverage(model).select(F.col("symbol").alias("top"), "percent"), "top", "left").select(F.col("top").alias("id"), F.coalesce("tests", F.lit(0)).alias("tests"), state.alias("result"), "percent")
+
+
+def review_markdown(groups: DataFrame, limit: int = 200) -> str:
+    """A review text of grouped changes (group, group_kind, changes), most important groups first."""
+    out = ["# Changes"]
+    for g in groups.limit(limit).toLocalIterator():
+        out += [f"\n## {g['group']} ({g['group_kind']})", *[f"- {c['kind']}: {c['summary']}" for c in g["changes"]]]
+    return "\n".join(out)
