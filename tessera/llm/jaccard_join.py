@@ -99,13 +99,13 @@ def _need(n: np.ndarray | int, percent: int):
 
 
 def _sets(width: int, percent: int, shared):
-    """Per row: id, size, class, group key, and the prefix with the frequency class of its shingles."""
+    """Per row: id, size, class, group key, how many shingles of the prefix are rare, and the prefix with the frequency class of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for table in K.text_chunks(batches, "text", CHUNK_BYTES):
             h, lo, hi = _shingles(K.as_bytes(table["text"]), width)
-            size, cid, group, prefix, weight, lens = [], [], [], [], [], []
+            size, cid, group, prefix, weight, lens, rare = [], [], [], [], [], [], []
             for a, b in zip(lo.tolist(), hi.tolist(), strict=True):
                 u = np.unique(h[a:b])
                 n = len(u)
@@ -114,6 +114,7 @@ def _sets(width: int, percent: int, shared):
                     cid.append(0)
                     group.append(0)
                     lens.append(0)
+                    rare.append(0)
                     continue
                 cid.append(_class_id(u))
                 p, cls = _prefix(u, frequent, percent)
@@ -121,12 +122,13 @@ def _sets(width: int, percent: int, shared):
                 prefix.append(p)
                 weight.append(cls)
                 lens.append(len(p))
+                rare.append(int((cls == 0).sum()))
             offsets = pa.array(np.concatenate(([0], np.cumsum(lens))).astype(np.int32))
             flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
             heavy = np.concatenate(weight).astype(np.int8) if weight else np.zeros(0, np.int8)
             yield pa.RecordBatch.from_arrays(
-                [table["doc_id"].combine_chunks(), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(group, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(heavy))],
-                ["doc_id", "n", "cid", "gkey", "prefix", "weight"],
+                [table["doc_id"].combine_chunks(), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(group, pa.int64()), pa.array(rare, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(heavy))],
+                ["doc_id", "n", "cid", "gkey", "rare", "prefix", "weight"],
             )
 
     return run
@@ -188,7 +190,7 @@ class _Join:
         often = often.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
         table = np.maximum(table, sketch.dense_table(often.select(F.shiftrightunsigned("token", 64 - SKETCH_BITS).alias("slot"), level), SKETCH_BITS, pack=False))
         shared = self.spark.sparkContext.broadcast(table)
-        rows = self.docs.mapInArrow(_sets(self.width, self.percent, shared), "doc_id long, n long, cid long, gkey long, prefix array<long>, weight array<tinyint>")
+        rows = self.docs.mapInArrow(_sets(self.width, self.percent, shared), "doc_id long, n long, cid long, gkey long, rare long, prefix array<long>, weight array<tinyint>")
         return materialise(rows, "sets")
 
     def slot(self):
@@ -224,7 +226,7 @@ class _Join:
         groups = classes.groupBy("gkey").agg(F.min(F.struct("rep", "cid")).alias("head"))
         classes = materialise(classes.join(groups, "gkey").select("cid", "n", "gkey", "rep", "size", F.col("head.cid").alias("gid")), "classes")
         heads = classes.filter("cid = gid").select("cid", F.col("rep").alias("doc_id"))
-        posts = full.join(heads, ["cid", "doc_id"], "left_semi").select("cid", "n", F.size(F.filter("weight", lambda w: w == 0)).alias("rare"), F.posexplode(F.arrays_zip("prefix", "weight")).alias("pos", "x"))
+        posts = full.join(heads, ["cid", "doc_id"], "left_semi").select("cid", "n", "rare", F.posexplode(F.arrays_zip("prefix", "weight")).alias("pos", "x"))
         segments = F.when(F.col("x.weight") > 13, F.pow(F.lit(2.0), F.col("x.weight").cast("int") - 13).cast("int")).otherwise(F.lit(1))
         posts = posts.select(F.col("x.prefix").alias("token"), F.pmod(F.xxhash64("cid"), segments).cast("int").alias("segment"), (segments > 1).alias("long"), F.col("cid").alias("gid"), "n", "pos", "rare")
         # In a list, sets with few rare shingles come first: what others were copied from, or is closest to it.
