@@ -32,6 +32,24 @@ SQL = {
         )
         SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, sha256(array_to_string(rest, chr(10))) AS kept_sha256 FROM kept
     """,
+    "op1_repeated_lines": """
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS lines FROM documents
+        ), l AS (
+            SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS place FROM d
+        ), gone AS (
+            SELECT doc_id, place FROM (
+                SELECT doc_id, place, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS n FROM l
+            ) WHERE n > 1
+        ), cut AS (
+            SELECT doc_id, list(place) AS places FROM gone GROUP BY doc_id
+        ), kept AS (
+            SELECT d.doc_id, len(lines) AS n_lines, coalesce(len(places), 0) AS n_removed,
+                   list_filter(lines, lambda x, i: places IS NULL OR NOT list_contains(places, i)) AS rest
+            FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id
+        )
+        SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, sha256(array_to_string(rest, chr(10))) AS kept_sha256 FROM kept
+    """,
     "op2_chat_format": """
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -106,6 +124,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 
+def op1_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of any length, single lines too: every line that also occurs earlier goes."""
+    from tessera.llm.line_dedup import remove_repeated_lines
+
+    out = remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=1)
+    return out.select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 #: A conversation whose texts hold the template's own control strings.
 TRICKY = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
 
@@ -182,6 +208,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op1_repeated_lines": op1_repeated_lines,
         "op2_chat_format": op2_chat_format,
         "op3_quality_gam": op3_quality_gam,
         "op4_topk_bsi": op4_topk_bsi,

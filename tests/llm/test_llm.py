@@ -95,6 +95,21 @@ def test_line_dedup(spark):
         assert got[d]["kept_text"] == ("\n".join(kept) if gone else values[d])
 
 
+def test_repeated_lines_of_runs_shorter_than_three(spark, tmp_path):
+    from tessera.llm.queries import SQL, queries
+
+    values = ["one\ntwo\nthree\nfour", "x\none\ntwo\ny", "three", "z\nz", "", "new\n\nfour\nnew", "x\ny\nthree\nend"]
+    spark.createDataFrame(list(enumerate(values)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_windows(values, 1, lambda t: [x for x in t.split("\n") if x])
+    want = sorted((d, n, gone, hashlib.sha256("\n".join(kept).encode()).hexdigest()) for d, (n, gone, kept) in want.items())
+    assert [w[2] for w in want] == [0, 2, 1, 1, 0, 2, 3]
+    assert sorted(map(tuple, queries()["op1_repeated_lines"](spark, str(tmp_path)).collect())) == want
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(con.execute(SQL["op1_repeated_lines"]).fetchall()) == want
+
+
 def test_windows_with_colliding_hashes(monkeypatch):
     from tessera.llm.repeats import _Windows
 
