@@ -98,8 +98,8 @@ def _need(n: np.ndarray | int, percent: int):
     return -(-percent * n // 100)
 
 
-def _sets(width: int, percent: int, shared):
-    """Per row: id, size, class, group key, how many shingles of the prefix are rare, and the prefix with the frequency class of its shingles."""
+def _sets(width: int, percent: int, shared, keys: list[str]):
+    """Per row: id (and what else is in ``keys``), size, class, group key, how many shingles of the prefix are rare, and the prefix with the frequency class of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
@@ -127,8 +127,8 @@ def _sets(width: int, percent: int, shared):
             flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
             heavy = np.concatenate(weight).astype(np.int8) if weight else np.zeros(0, np.int8)
             yield pa.RecordBatch.from_arrays(
-                [table["doc_id"].combine_chunks(), pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(group, pa.int64()), pa.array(rare, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(heavy))],
-                ["doc_id", "n", "cid", "gkey", "rare", "prefix", "weight"],
+                [*[table[c].combine_chunks() for c in keys], pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(group, pa.int64()), pa.array(rare, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.ListArray.from_arrays(offsets, pa.array(heavy))],
+                [*keys, "n", "cid", "gkey", "rare", "prefix", "weight"],
             )
 
     return run
@@ -176,11 +176,12 @@ class _Join:
         self.width, self.percent, self.spark = width, percent, docs.sparkSession
         self.docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def shingle(self) -> DataFrame:
+    def shingle(self, content: bool = False) -> DataFrame:
         """Sets in an order that knows which shingles are frequent.
 
         Repeats within chunks give a first order; in it, how many prefixes a shingle is in gives
-        the final one. Any order is right, as long as all documents have the same.
+        the final one. Any order is right, as long as all documents have the same. With
+        ``content``, rows have a hash of their text too.
         """
         level = F.floor(F.log2(F.col("n").cast("double"))).alias("value")
         seen = self.docs.select("text").mapInArrow(_frequent(self.width), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
@@ -190,7 +191,8 @@ class _Join:
         often = often.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
         table = np.maximum(table, sketch.dense_table(often.select(F.shiftrightunsigned("token", 64 - SKETCH_BITS).alias("slot"), level), SKETCH_BITS, pack=False))
         shared = self.spark.sparkContext.broadcast(table)
-        rows = self.docs.mapInArrow(_sets(self.width, self.percent, shared), "doc_id long, n long, cid long, gkey long, rare long, prefix array<long>, weight array<tinyint>")
+        docs, keys = (self.docs.withColumn("content", F.xxhash64("text")), ["doc_id", "content"]) if content else (self.docs, ["doc_id"])
+        rows = docs.mapInArrow(_sets(self.width, self.percent, shared, keys), ", ".join(f"{c} long" for c in keys) + ", n long, cid long, gkey long, rare long, prefix array<long>, weight array<tinyint>")
         return materialise(rows, "sets")
 
     def slot(self):
@@ -283,18 +285,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest; equal rows are one class, and each has its row; an empty table gives an empty
     table; other columns are not read.
     """
+    out = _placed(docs, id_col, text_col, width, percent)
+    no_id = lambda c: F.when(F.col(c) == _NO_ID, F.lit(None)).otherwise(F.col(c))
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).select(no_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), no_id("component_id").alias("component_id"))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, content: bool = False) -> DataFrame:
+    """Per row: doc_id, content (a hash of the text, if asked for), n, cid, size, component_id, comp (null, like component_id, where nothing is linked)."""
     join = _Join(docs, id_col, text_col, width, percent)
-    sets = join.shingle()
+    sets = join.shingle(content)
     classes, _ = join.components(sets)
     classes = materialise(classes.select("cid", "rep", "size", "comp"), "final")
     least = classes.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("together"))
-    told = classes.join(least, "comp").filter("size > 1 or together > 1").select("cid", "size", "component_id")
-    rows = sets.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
+    told = classes.join(least, "comp").filter("size > 1 or together > 1").select("cid", "size", "component_id", "comp")
+    rows = sets.select(*sets.columns[: 2 if content else 1], "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
     total = rows.count()
-    empty = rows.filter("n = 0").select("*", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("component_id"))
-    out = hot_split_join(rows.filter("n > 0"), told, ["cid"], "size", total).unionByName(empty)
-    no_id = lambda c: F.when(F.col(c) == _NO_ID, F.lit(None)).otherwise(F.col(c))
-    return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).select(no_id("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("cid").alias("class_id"), no_id("component_id").alias("component_id"))
+    empty = rows.filter("n = 0").select("*", *[F.lit(None).cast("long").alias(c) for c in ("size", "component_id", "comp")])
+    return hot_split_join(rows.filter("n > 0"), told, ["cid"], "size", total).unionByName(empty)
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -305,7 +312,18 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id."""
-    out = near_duplicates(docs, id_col, text_col, width, percent)
-    stay = out.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__id")).distinct()
-    return docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).join(stay, "__id", "left_semi").drop("__id")
+    """The rows of ``docs`` that stay: of each component the one with the smallest id.
+
+    A null id is the smallest; rows of one id and several texts are told apart by a hash of
+    the text, whose smallest value stays, and of equal rows one stays. Rows without words are
+    no copies of one another, and all stay.
+    """
+    rows = _placed(docs, id_col, text_col, width, percent, content=True).filter("n > 0")
+    best = rows.groupBy(F.coalesce("comp", "cid").alias("comp")).agg(F.min(F.struct("doc_id", "content")).alias("best"))
+    stay = best.select(F.col("best.doc_id").alias("__id"), F.col("best.content").alias("__content"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    some = text.rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.filter(some).withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__content": F.xxhash64(text)})
+    turn = F.row_number().over(Window.partitionBy("__id", "__content").orderBy(F.lit(1)))
+    kept = keyed.join(stay, ["__id", "__content"], "left_semi").withColumn("__turn", turn).filter("__turn = 1")
+    return kept.drop("__turn", "__id", "__content").unionByName(docs.filter(~some))

@@ -157,6 +157,17 @@ def test_jaccard_join(spark, seed):
     assert sorted(r["doc_id"] for r in keep_one(docs).collect()) == sorted({c for _, c in got.values()})
 
 
+def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
+    make = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: make(k) + " tail"
+    rows = [(3, make(0)), (7, near(0)), (7, make(1)), (9, make(2)), (9, make(2)), (None, make(3)), (None, near(3)), (None, make(4)), (None, None), (None, " "), (None, " "), (11, make(5)), (11, near(5))]
+    got = [tuple(r) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    sure = [(3, make(0)), (7, make(1)), (9, make(2)), (None, make(4)), (None, None), (None, " "), (None, " ")]
+    assert collections.Counter(r for r in got if r in sure) == collections.Counter(sure)
+    rest = [r for r in got if r not in sure]
+    assert len(rest) == 2 and sum(r in rows[5:7] for r in rest) == 1 and sum(r in rows[11:] for r in rest) == 1
+
+
 def test_bpe_automaton(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     own, lib = TextEncoder(path), Tokenizer.from_file(path)
