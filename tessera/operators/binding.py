@@ -11,8 +11,6 @@ from tessera.model import file_part
 
 #: Lines of a bucket for range joins.
 BUCKET_LINES = 256
-#: Re-exports that are followed at most.
-REEXPORT_DEPTH = 16
 SOURCE_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".json")
 
 
@@ -96,28 +94,46 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     return rows.join(known.select("dir", "spec", F.col("best.dst").alias("dst")), ["dir", "spec"]).select("src", "spec", "dst")
 
 
-def follow_reexports(asked: DataFrame, reexports: DataFrame, depth: int = REEXPORT_DEPTH) -> DataFrame:
+def follow_reexports(asked: DataFrame, reexports: DataFrame, exports: DataFrame | None = None) -> DataFrame:
     """(file, name, target, local): where a name that a file exports is defined.
 
-    asked: file, name; reexports: file, name (``*`` for all), target, local. Named ones come
-    before stars; chains end after ``depth`` steps, so cycles do too.
+    asked: file, name; reexports: file, name (``*`` for all), target, local, and place where
+    the order of statements is known (else targets are tried by name); exports: file, name of
+    what files define themselves. A name ends at the first file that exports it: a named
+    re-export is followed alone, else every star in turn, as deep as it goes. Names found
+    nowhere have no row. Without ``exports`` a file that passes a name on to no other counts as
+    the one that defines it.
     """
-    left = asked.select("file", "name", F.col("file").alias("target"), F.col("name").alias("local"), F.array(F.concat_ws("\0", "file", "name")).alias("seen")).distinct()
-    done = None
-    step = reexports.select(F.col("file").alias("target"), F.col("name").alias("key"), F.col("target").alias("next"), F.col("local").alias("as"))
-    for _ in range(depth):
-        on = (left["target"] == step["target"]) & ((step["key"] == left["local"]) | (step["key"] == "*"))
-        joined = left.join(step, on, "left").select("file", "name", left["target"].alias("target"), left["local"].alias("local"), "seen", "key", "next", F.when(F.col("key") == "*", F.col("local")).otherwise(F.col("as")).alias("next_local"))
-        best = Window.partitionBy("file", "name", "target", "local").orderBy(F.col("key") == "*", "next", "next_local")
-        joined = materialise(joined.withColumn("n", F.row_number().over(best)).filter("n = 1"), "reexports")
-        key = F.concat_ws("\0", "next", "next_local")
-        stop = F.col("next").isNull() | F.array_contains("seen", key)
-        ended = joined.filter(stop).select("file", "name", "target", "local")
-        done = ended if done is None else done.unionByName(ended)
-        left = joined.filter(~stop).select("file", "name", F.col("next").alias("target"), F.col("next_local").alias("local"), F.concat("seen", F.array(key)).alias("seen"))
-        if left.isEmpty():
+    state = ["file", "name", "target", "local"]
+    place = F.col("place").cast("long") if "place" in reexports.columns else F.lit(0).cast("long")
+    step = reexports.select(F.col("file").alias("target"), F.col("name").alias("key"), F.col("target").alias("next"), F.coalesce("local", "name").alias("as"), place.alias("place"))
+    front = asked.filter("file is not null and name is not null").select("file", "name", F.col("file").alias("target"), F.col("name").alias("local"), F.array().cast("array<string>").alias("path")).distinct()
+    known, ends = None, None
+    while True:
+        front = materialise(front, "reexports")
+        if front.isEmpty():
             break
-    return done.distinct()
+        known = front if known is None else materialise(known.unionByName(front).groupBy(*state).agg(F.min("path").alias("path")), "known")
+        on = (front["target"] == step["target"]) & ((step["key"] == front["local"]) | ((step["key"] == "*") & (front["local"] != "default")))
+        whole = F.col("local") == "*"
+        if exports is None:
+            end = front.join(step, on, "left_anti").unionByName(front.filter(whole)).distinct()
+        else:
+            own = exports.select(F.col("file").alias("target"), F.col("name").alias("local"))
+            end = front.filter(~whole).join(own, ["target", "local"], "left_semi").select(*front.columns).unionByName(front.filter(whole))
+        end = materialise(end, "ends")
+        ends = end if ends is None else ends.unionByName(end)
+        rows = front.join(step, on).select("file", "name", front["target"].alias("target"), "local", "path", "key", "next", "as", "place").join(end.select(*state), state, "left_anti")
+        star = F.col("key") == "*"
+        rows = rows.withColumn("named", F.max(~star).over(Window.partitionBy(*state))).filter("next is not null").filter(star != F.col("named"))
+        local = F.when(star, F.col("local")).otherwise(F.col("as"))
+        rows = rows.select("file", "name", F.col("next").alias("target"), local.alias("local"), F.concat("path", F.array(F.format_string("%020d\0%s\0%s", "place", "next", local))).alias("path"))
+        # A place that is reached again goes on only if by a way that is tried earlier; a circle never is.
+        before = known.select(*state, F.col("path").alias("before"))
+        front = rows.groupBy(*state).agg(F.min("path").alias("path")).join(before, state, "left").filter("before is null or path < before").drop("before")
+    if ends is None:
+        return front.select(*state)
+    return ends.groupBy("file", "name").agg(F.min(F.struct("path", "target", "local")).alias("best")).select("file", "name", "best.target", "best.local")
 
 
 def import_edges(resolved: DataFrame, names: DataFrame) -> DataFrame:

@@ -9,25 +9,26 @@ from pyspark.sql.window import Window
 from tessera.functions import scalars as S
 from tessera.lineage import materialise
 
-#: Depths at which mounts and redirects end.
-MOUNT_DEPTH = 8
+#: Depth at which redirects end.
 REDIRECTS = 3
 
 
-def expand_mounts(routers: DataFrame, mounts: DataFrame, depth: int = MOUNT_DEPTH) -> DataFrame:
+def expand_mounts(routers: DataFrame, mounts: DataFrame) -> DataFrame:
     """(router, prefix): every full prefix of a router. routers: router, prefix; mounts: parent, child, extra.
 
-    A router with several parents has several prefixes; chains end after ``depth`` mounts, so
-    cycles do too.
+    A router with several parents has several prefixes; chains go on as far as there are
+    mounts, and end where a router would be above itself.
     """
     top = routers.join(mounts.select(F.col("child").alias("router")).distinct(), "router", "left_anti")
-    level = top.select("router", S.join_path(F.lit(""), F.col("prefix")).alias("prefix"))
+    level = top.select("router", S.join_path(F.lit(""), F.col("prefix")).alias("prefix"), F.array("router").alias("seen"))
+    level = materialise(level, "mounts")
     out = level
-    for _ in range(depth):
-        down = level.join(mounts, level["router"] == mounts["parent"]).select(F.col("child"), F.col("prefix").alias("above"), "extra")
-        level = down.join(routers, down["child"] == routers["router"]).select("router", S.join_path(S.join_path(F.col("above"), F.coalesce("extra", F.lit(""))), F.col("prefix")).alias("prefix")).distinct()
+    while not level.isEmpty():
+        down = level.join(mounts, (level["router"] == mounts["parent"]) & ~F.array_contains("seen", mounts["child"])).select(F.col("child"), F.col("prefix").alias("above"), "extra", "seen")
+        level = down.join(routers, down["child"] == routers["router"]).select("router", S.join_path(S.join_path(F.col("above"), F.coalesce("extra", F.lit(""))), F.col("prefix")).alias("prefix"), F.array_sort(F.concat("seen", F.array("router"))).alias("seen")).distinct()
+        level = materialise(level, "mounts")
         out = out.union(level)
-    return out.distinct()
+    return out.select("router", "prefix").distinct()
 
 
 def full_routes(routes: DataFrame, prefixes: DataFrame) -> DataFrame:

@@ -109,6 +109,17 @@ def test_reexports_end_on_cycles(spark):
     assert ("A", "a", "B") in got
 
 
+def test_reexports_try_every_star_at_any_depth(spark):
+    chain = [(f"d{i}", "*", f"d{i + 1}", None) for i in range(18)]
+    re_ = [("i", "*", "a", None), ("i", "*", "b", None), ("b", "*", "i", None), ("b", "*", "c", None), ("m", "X", "b", "Z"), *chain]
+    re_ = spark.createDataFrame(re_, "file string, name string, target string, local string")
+    exports = spark.createDataFrame([("a", "A"), ("c", "Z"), ("b", "A"), ("d18", "D")], "file string, name string")
+    asked = spark.createDataFrame([("i", "A"), ("i", "Z"), ("m", "X"), ("i", "none"), ("d0", "D"), ("i", "default")], "file string, name string")
+    got = rows(B.follow_reexports(asked, re_, exports), "file", "name", "target", "local")
+    assert got == [("d0", "D", "d18", "D"), ("i", "A", "a", "A"), ("i", "Z", "c", "Z"), ("m", "X", "c", "Z")]
+    assert rows(B.follow_reexports(asked.filter("file = 'd0'"), re_), "target", "local") == [("d18", "D")]
+
+
 def test_calls_and_injection(spark):
     calls = spark.createDataFrame([("f", "name", "m", "go"), ("f", "this", "K", "run"), ("f", "name", "m", "two")], "src string, shape string, scope string, name string")
     targets = spark.createDataFrame([("m", "go", "x#go", "function"), ("K", "run", "x#K.run", "method"), ("m", "two", "a", "function"), ("m", "two", "b", "function")], "scope string, name string, id string, display_kind string")
@@ -159,6 +170,12 @@ def test_mounts(spark):
     assert rows(H.expand_mounts(routers, mounts), "router", "prefix") == [("app", "/"), ("items", "/api/v1/items"), ("items", "/old/items"), ("v1", "/api/v1")]
 
 
+def test_mounts_of_any_depth_with_a_cycle(spark):
+    routers = spark.createDataFrame([(f"r{i:02}", f"/{i}") for i in range(12)], "router string, prefix string")
+    mounts = spark.createDataFrame([(f"r{i:02}", f"r{i + 1:02}", "") for i in range(11)] + [("r11", "r05", "")], "parent string, child string, extra string")
+    assert rows(H.expand_mounts(routers, mounts), "router", "prefix") == [(f"r{i:02}", "".join(f"/{k}" for k in range(i + 1))) for i in range(12)]
+
+
 def test_moves_and_sets(spark):
     base = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", "3")], "id string, content_hash string")
     head = spark.createDataFrame([("a", "1"), ("x", "2"), ("y", "3")], "id string, content_hash string")
