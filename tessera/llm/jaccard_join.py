@@ -221,8 +221,8 @@ class _Join:
         """How many shingles sets of n and m shingles must have in common."""
         return F.ceil((F.col(n) + F.col(m)) * self.percent / F.lit(100.0 + self.percent) - 1e-9)
 
-    def components(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """classes (cid, n, gkey, rep, size, comp) and the verified links of both passes."""
+    def grouped(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """classes (cid, n, gkey, rep, size, gid), and the lists of shingles that the heads of groups are in."""
         full = sets.filter("n > 0")
         classes = full.groupBy("cid", "n", "gkey").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
         groups = classes.groupBy("gkey").agg(F.min(F.struct("rep", "cid")).alias("head"))
@@ -231,6 +231,11 @@ class _Join:
         posts = full.join(heads, ["cid", "doc_id"], "left_semi").select("cid", "n", "rare", F.posexplode(F.arrays_zip("prefix", "weight")).alias("pos", "x"))
         segments = F.when(F.col("x.weight") > 13, F.pow(F.lit(2.0), F.col("x.weight").cast("int") - 13).cast("int")).otherwise(F.lit(1))
         posts = posts.select(F.col("x.prefix").alias("token"), F.pmod(F.xxhash64("cid"), segments).cast("int").alias("segment"), (segments > 1).alias("long"), F.col("cid").alias("gid"), "n", "pos", "rare")
+        return classes, posts
+
+    def components(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """classes (cid, n, gkey, rep, size, gid, comp) and the verified links of both passes."""
+        classes, posts = self.grouped(sets)
         # In a list, sets with few rare shingles come first: what others were copied from, or is closest to it.
         order = ["rare", "n", "gid"]
         by = Window.partitionBy("token", "segment").orderBy(*order)
@@ -254,6 +259,19 @@ class _Join:
         classes = classes.join(final.select(F.col("v").alias("comp"), F.col("comp").alias("top")), "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top")
         return classes, links
 
+    def every(self, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """classes (cid, n, gkey, rep, size, gid) and all verified links, those inside a component too."""
+        classes, posts = self.grouped(sets)
+        posts = materialise(posts.select("token", "gid", "n", "pos"), "lists")
+        a, b = (posts.select("token", *[F.col(c).alias(c[0] + x) for c in ("gid", "n", "pos")]) for x in "ab")
+        room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= self.overlap("na", "nb")
+        near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
+        pairs = a.join(b, "token").filter((F.col("ga") < F.col("gb")) & near & room).select("ga", "gb").distinct()
+        left, right = (classes.select(F.col("gid").alias("g" + x), F.col("cid").alias(x)) for x in "ab")
+        inside = left.join(right, F.col("ga") == F.col("gb")).filter("a < b").select("a", "b")
+        out = pairs.join(left, "ga").join(right, "gb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return classes, self.verified(out.unionByName(inside).distinct(), classes)
+
     def across(self, posts: DataFrame, classes: DataFrame) -> DataFrame:
         """All pairs of classes of different components that share enough prefix shingles, and all such pairs of a group."""
         members = classes.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("members"))
@@ -311,6 +329,18 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classes.select("cid", "n", "rep", "size", "comp"), links
 
 
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Classes of documents (cid, n, rep, size) and every link (a, b) of two classes, a < b.
+
+    The whole similarity join: unlike ``similar_classes``, pairs of one component are verified
+    as well. Documents of one class are equal sets and need no link. The number of links can
+    grow with the square of a component's classes.
+    """
+    join = _Join(docs, id_col, text_col, width, percent)
+    classes, links = join.every(join.shingle())
+    return classes.select("cid", "n", "rep", "size"), links
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id.
 

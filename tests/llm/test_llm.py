@@ -15,7 +15,7 @@ from tessera.llm import chat_format as C
 from tessera.llm import textkernel as K
 from tessera.llm.bpe_automaton import TextEncoder, encode_texts
 from tessera.llm.exact_dedup import drop_copies, exact_groups
-from tessera.llm.jaccard_join import keep_one, near_duplicates
+from tessera.llm.jaccard_join import keep_one, near_duplicates, similar_classes, similar_pairs
 from tessera.llm.line_dedup import remove_repeated_lines
 from tessera.llm.packing import pack
 from tessera.llm.quality_gam import FEATURES, features, fit, with_score
@@ -157,6 +157,19 @@ def test_jaccard_join(spark, seed):
     assert sorted(r["doc_id"] for r in keep_one(docs).collect()) == sorted({c for _, c in got.values()})
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_similar_pairs(spark, seed):
+    base = [f"w{seed}x{i}" for i in range(120)]
+    values = [*texts(seed, 30), *[" ".join([*base[:110], *[f"end{k}y{i}" for i in range(k)]]) for k in range(12)], " ".join(base[3:110])]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 0))} or ({tuple(w)} if w else set()) for w in (words(v.lower()) for v in values)]
+    sets = {i: s for i, s in enumerate(sets) if s and s not in sets[:i]}
+    want = sorted((i, j) for i, s in sets.items() for j, t in sets.items() if i < j and 100 * len(s & t) >= 80 * len(s | t))
+    classes, links = similar_pairs(table(spark, values))
+    rep = {r["cid"]: r["rep"] for r in classes.collect()}
+    assert sorted(tuple(sorted((rep[a], rep[b]))) for a, b in links.collect()) == want and len(want) > 60
+    assert sorted(rep.values()) == sorted(sets) and len(similar_classes(table(spark, values))[1].collect()) < len(want)
+
+
 def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
     make = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     near = lambda k: make(k) + " tail"
