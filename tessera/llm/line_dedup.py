@@ -1,10 +1,9 @@
-"""Line dedup (1): winnowing over line hashes.
+"""Line dedup (1): super-k-mers over windows of lines, by the engine of op10 (``repeats``).
 
-Of every ``WIDTH`` consecutive lines the one with the least hash is selected, so any run of
-``WIDTH`` lines that occurs twice has the same line selected in both places: selected lines are
-guaranteed fingerprints. Positions meet by fingerprint together with the lines around them, and
-a match extends over all windows on both sides whose lines are equal; windows that also
-start earlier are later repeats, and their lines go.
+The least hash among ``WIDTH`` consecutive lines is the key of the window's bucket, so equal
+windows meet there and are compared line by line; windows that also start earlier are later
+repeats, and their lines go. Nothing extends beyond windows: a longer match is the union of
+its windows, so extending fingerprints both ways would remove the same lines.
 """
 
 from __future__ import annotations
