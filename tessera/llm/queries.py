@@ -76,6 +76,26 @@ SQL = {
         )
         SELECT query_id, place::INTEGER AS rank, vec_id, score FROM r WHERE place <= 5
     """,
+    "op5_ngram_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), s AS (
+            SELECT doc_id, words, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))
+                                                     WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingles FROM d
+        ), e AS (
+            SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+        ), links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM e AS a JOIN e AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+        ), least AS (
+            SELECT x, min(y) AS component_id FROM reach GROUP BY x
+        )
+        SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id,
+               CASE WHEN len(words) > 0 THEN sha256(array_to_string(words, ' ')) END AS class_id
+        FROM s JOIN least ON s.doc_id = least.x
+    """,
     "op7_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,

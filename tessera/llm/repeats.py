@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as K
@@ -38,13 +38,18 @@ HOT_FLOOR = 20_000
 _TRAVEL = "key long, k1 long, k2 long, start long, n long, packed binary"
 
 
+def order_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """``k1``, ``k2``: the order of documents. A null id comes first; equal ids are told apart by a hash of their text."""
+    content = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    first = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))
+    # The sign of k2 tells a null id from the smallest long.
+    second = F.when(F.col(id_col).isNull(), content.bitwiseOR(F.lit(-(2**63)).cast("long"))).otherwise(F.shiftrightunsigned(content, 1))
+    return first, second
+
+
 def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``k1``, ``k2``: the order of documents. A null id comes first; equal ids are told apart by their text."""
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")).alias("k1"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k2"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    )
+    first, second = order_keys(id_col, text_col)
+    return docs.select(first.alias("k1"), second.alias("k2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 class _Windows:
@@ -83,8 +88,9 @@ class _Windows:
         np.maximum.accumulate(head, out=head)
         follow = np.flatnonzero(head != np.arange(n))
         a, b = order[head[follow]], order[follow]
-        equal, ids = self._equal(a, b)
+        equal = K.equal_windows(self.units, self.at[a], self.at[b], self.width)
         if not equal.all():  # equal hashes of unequal windows: settle their groups by content
+            ids = K.unit_ids(self.units)
             for g in np.unique(head[follow[~equal]]):
                 seen: dict[bytes, int] = {}
                 for w in order[head == g]:
@@ -98,20 +104,6 @@ class _Windows:
         later[b] = (rb > ra) | ((rb == ra) & (self.place[b] > self.place[a]))
         return first, later
 
-    def _equal(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        used = np.zeros(len(self.units.start) + 1, np.int32)
-        for side in (a, b):
-            np.add.at(used, self.at[side], 1)
-            np.add.at(used, self.at[side] + self.width, -1)
-        which = np.flatnonzero(np.cumsum(used[:-1]) > 0)
-        ids = np.full(len(self.units.start), -1, np.int32)
-        ids[which] = self.units.strings(which).dictionary_encode().indices.to_numpy()
-        equal = np.ones(len(a), bool)
-        pa_, pb_ = self.at[a], self.at[b]
-        for j in range(self.width):
-            equal &= ids[pa_ + j] == ids[pb_ + j]
-        return equal, ids
-
     def ranges(self, mask: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Runs of consecutive marked windows of one piece (and one key): index of the first, number."""
         which = np.flatnonzero(mask)

@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN["dir"]
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that a column of ``taken`` has already (in any case)."""
+    have, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{label}"
 

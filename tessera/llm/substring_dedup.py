@@ -69,9 +69,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names that begin with two underscores are reserved.
     """
     ranges = repeated_ranges(docs, id_col, text_col, kind, width, span).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "ranges": "__ranges"})
+    first, second = repeats.order_keys(id_col, text_col)
     keyed = docs.withColumns({
-        "__k1": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")),
-        "__k2": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
+        "__k1": first,
+        "__k2": second,
         "__text": F.coalesce(F.col(text_col), F.lit("")),
     })
     joined = keyed.join(ranges, ["__k1", "__k2"], "left").drop("__k1", "__k2")

@@ -98,6 +98,28 @@ def _hashes(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return h
 
 
+def unit_ids(units: Units, which: np.ndarray | None = None) -> np.ndarray:
+    """Numbers that are equal for equal units, by their bytes; -1 for units outside ``which``."""
+    if which is None:
+        which = np.arange(len(units.start))
+    ids = np.full(len(units.start), -1, np.int32)
+    ids[which] = units.strings(which).dictionary_encode().indices.to_numpy()
+    return ids
+
+
+def equal_windows(units: Units, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Whether the ``width`` units from ``a`` and from ``b`` on are the same, by their bytes."""
+    used = np.zeros(len(units.start) + 1, np.int32)
+    for side in (a, b):
+        np.add.at(used, side, 1)
+        np.add.at(used, side + width, -1)
+    ids = unit_ids(units, np.flatnonzero(np.cumsum(used[:-1]) > 0))
+    equal = np.ones(len(a), bool)
+    for j in range(width):
+        equal &= ids[a + j] == ids[b + j]
+    return equal
+
+
 def window_hash(h: np.ndarray, width: int) -> np.ndarray:
     """Hash of each ``width`` consecutive values (one shorter by width - 1)."""
     n = len(h) - width + 1
