@@ -11,10 +11,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; a temporary one where that is unset and all tasks run on this machine, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return "file://" + _own.setdefault("dir", tempfile.mkdtemp(prefix="tessera-"))
 
 
