@@ -38,11 +38,10 @@ from tessera.llm.storage import free_names, hot_split_join, materialise
 SHINGLE = 5
 PERCENT = 80
 CHUNK_BYTES = 4 << 20
-#: Cells of the table of frequent shingles, and bits of the table of documents to read again.
+#: Cells of the table of frequent shingles.
 SKETCH_BITS = 24
 #: A shingle in so many prefixes moves towards the end of the order.
 OFTEN = 3
-WANTED_BITS = 24
 #: A list of a shingle is split into segments of about this many rows; in the second pass segments meet pairwise.
 SEGMENT_BITS = 13
 #: Longs of a signature.
@@ -282,8 +281,9 @@ class _Join:
         pairs = materialise(pairs, "pairs")
         need = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
         wanted = materialise(need.join(classes.select("cid", "rep", "key"), "cid"), "wanted")
-        slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - WANTED_BITS)
-        bitmap = sketch.dense_table(wanted.select(slot("rep").alias("slot"), F.lit(1).alias("value")), WANTED_BITS, pack=True)
+        bits = sketch.bits_for(wanted.count())
+        slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
+        bitmap = sketch.dense_table(wanted.select(slot("rep").alias("slot"), F.lit(1).alias("value")), bits, pack=True)
         shared = self.spark.sparkContext.broadcast(bitmap)
         found = self.docs.withColumn("slot", slot("doc_id")).mapInArrow(_wanted_texts(shared), "key binary, words binary")
         texts = found.join(wanted.select("cid", "key"), "key").dropDuplicates(["key", "cid"]).select("cid", "words")

@@ -6,52 +6,42 @@ share a minimiser form a super-k-mer and travel as one packed string to the buck
 minimiser, where sorting brings equal windows together; equal hashes are compared unit by
 unit, so counting is exact.
 
-Three steps keep hot content from piling up, none of which changes the result:
+Four steps keep hot content from piling up, none of which changes the result:
 
 * each chunk of a task first resolves its own windows, so of a window at most one copy per
   chunk travels, whatever share of the rows has it;
-* minimisers that occur once in the whole input cannot hold a repeated window; a bitmap of
-  fixed size (a filter without false negatives) keeps them at home;
+* minimisers that occur once in the whole input cannot hold a repeated window; a bitmap (a
+  filter without false negatives, of ``sketch.MOST_BITS`` at most) keeps them at home;
 * minimisers with a large share of all occurrences (at most ``1 / HOT_SHARE`` by counting)
-  are dealt by the window's own hash instead.
+  are dealt by the window's own hash instead;
+* a bucket is read as a stream, and a key with more than ``CHUNK_BYTES`` is not held: its
+  windows go on as 128-bit digests, whose first places are found by an aggregation that
+  combines before it shuffles.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import sketch
 from tessera.llm import textkernel as K
+from tessera.llm.storage import hot_split_join, materialise
 
-#: Bytes of text that one chunk holds, and bits of the bitmap (2 ** 27 bits are 16 MB at any scale).
+#: Bytes of text that one chunk, and of packed windows that one bucket, holds.
 CHUNK_BYTES = 8 << 20
-BITMAP_BITS = 27
-SLICE_BITS = 17
 HOT_SHARE = 1 / 2048
-HOT_FLOOR = 20_000
+HOT_FLOOR = 1000
 
 _TRAVEL = "key long, k1 long, k2 long, start long, n long, packed binary"
 
 
-def order_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """``k1``, ``k2``: the order of documents. A null id comes first; equal ids are told apart by a hash of their text."""
-    content = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    first = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long"))
-    # The sign of k2 tells a null id from the smallest long.
-    second = F.when(F.col(id_col).isNull(), content.bitwiseOR(F.lit(-(2**63)).cast("long"))).otherwise(F.shiftrightunsigned(content, 1))
-    return first, second
-
-
-def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    first, second = order_keys(id_col, text_col)
-    return docs.select(first.alias("k1"), second.alias("k2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
 class _Windows:
     """The windows of a list of pieces, each with its key (k1, k2) and the place of its first unit."""
 
@@ -136,27 +126,7 @@ def _minimiser_counts(kind: str, width: int, span: int):
     return count
 
 
-def _bitmap_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by slice -> one bit string per slice."""
-    held, bits = None, None
-    for batch in batches:
-        part, bit = batch["slice"].to_numpy(), batch["bit"].to_numpy()
-        start, n = K.runs(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else (part, part)
-        for s, k in zip(start, n, strict=True):
-            if part[s] != held:
-                if bits is not None:
-                    yield _slice_row(held, bits)
-                held, bits = part[s], np.zeros(1 << SLICE_BITS, bool)
-            bits[bit[s : s + k]] = True
-    if bits is not None:
-        yield _slice_row(held, bits)
-
-
-def _slice_row(part: int, bits: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([int(part)], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["slice", "bits"])
-
-
-def _travellers(kind: str, width: int, span: int, shared):
+def _travellers(kind: str, width: int, span: int, bits: int, shared):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, hot = shared.value
         for table in K.text_chunks(batches, "text", CHUNK_BYTES):
@@ -167,8 +137,7 @@ def _travellers(kind: str, width: int, span: int, shared):
             first, later = w.resolve(h)
             at, n = w.ranges(later)
             yield _rows(w, at, n, w.k1[w.piece[at]], None)
-            bit = (m >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-            go = first & ((bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1).astype(bool)
+            go = first & sketch.has_bit(bitmap, (m >> np.uint64(64 - bits)).astype(np.int64))
             key = np.where(np.isin(m, hot), h, m) if len(hot) else m
             at, n = w.ranges(go, key)
             for lo in range(0, len(at), 50_000):
@@ -189,23 +158,40 @@ def _rows(w: _Windows, at: np.ndarray, n: np.ndarray, key: np.ndarray, packed: l
 
 
 def _bucket(kind: str, width: int):
-    """Rows of a partition, sorted by key -> ranges of windows that start after an equal one."""
-    names = ["k1", "k2", "start", "n"]
+    """Rows of a partition, sorted by key -> ranges of windows that start after an equal one; windows of a key that is too large, with their digests."""
+    names = ["k1", "k2", "start", "n", "digest"]
 
-    def settle(rows: pa.Table) -> pa.RecordBatch:
-        w = _Windows(K.as_bytes(rows["packed"]), rows["k1"].to_numpy(), rows["k2"].to_numpy(), rows["start"].to_numpy(), kind, width)
-        _, later = w.resolve(w.hashes())
-        at, n = w.ranges(later)
+    def windows(rows: pa.Table) -> _Windows:
+        return _Windows(K.as_bytes(rows["packed"]), rows["k1"].to_numpy(), rows["k2"].to_numpy(), rows["start"].to_numpy(), kind, width)
+
+    def ranges(w: _Windows, at: np.ndarray, n: np.ndarray, digest: list[bytes] | None) -> pa.RecordBatch:
         p = w.piece[at]
-        return pa.RecordBatch.from_arrays([pa.array(w.k1[p]), pa.array(w.k2[p]), pa.array(w.place[at]), pa.array(n.astype(np.int64))], names)
+        return pa.RecordBatch.from_arrays([pa.array(w.k1[p]), pa.array(w.k2[p]), pa.array(w.place[at]), pa.array(n.astype(np.int64)), pa.nulls(len(at), pa.binary()) if digest is None else pa.array(digest, pa.binary())], names)
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        w = windows(rows)
+        return ranges(w, *w.ranges(w.resolve(w.hashes())[1]), None)
+
+    def pass_on(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(rows), 10_000):
+            w = windows(rows.slice(lo, 10_000))
+            begin, end = w.units.start[w.at].tolist(), w.units.end[w.at + width - 1].tolist()
+            digest = [hashlib.blake2b(w.units.raw[a:b], digest_size=16).digest() for a, b in zip(begin, end, strict=True)]
+            yield ranges(w, np.arange(len(w.at)), np.ones(len(w.at), np.int64), digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, large = [], 0, None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             told = table.filter(pc.is_null(table["packed"]))
-            yield from told.select(names).to_batches()
+            if len(told):
+                yield from told.select(names[:4]).append_column("digest", pa.nulls(len(told), pa.binary())).combine_chunks().to_batches()
             table = table.filter(pc.is_valid(table["packed"]))
+            if large is not None and len(table):
+                same = int(np.searchsorted(table["key"].to_numpy(), large, "right"))
+                yield from pass_on(table.slice(0, same))
+                table = table.slice(same)
+                large = None if len(table) else large
             if not len(table):
                 continue
             held.append(table)
@@ -217,7 +203,10 @@ def _bucket(kind: str, width: int):
                 if cut:
                     yield settle(whole.slice(0, cut))
                 held = [whole.slice(cut)]
-                size = held[0].nbytes * (len(key) - cut) // max(len(key), 1)
+                size = held[0].nbytes
+                if size > CHUNK_BYTES:
+                    yield from pass_on(held[0])
+                    held, size, large = [], 0, key[-1]
         if held:
             yield settle(pa.concat_tables(held))
 
@@ -233,24 +222,22 @@ def repeated_windows(docs: DataFrame, kind: str, width: int, span: int) -> DataF
     """
     spark = docs.sparkSession
     counts = docs.mapInArrow(_minimiser_counts(kind, width, span), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-    from tessera.llm.storage import materialise
-
     counts = materialise(counts, "minimisers")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    number, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     limit = max(HOT_FLOOR, int(total * HOT_SHARE))
     hot = np.array(sorted(r[0] for r in counts.filter(F.col("n") > limit).select("key").collect()), np.int64).view(np.uint64)
-    place = F.shiftrightunsigned("key", 64 - BITMAP_BITS)
-    slices = (
-        counts.select(F.shiftright(place, SLICE_BITS).cast("long").alias("slice"), place.bitwiseAND((1 << SLICE_BITS) - 1).cast("long").alias("bit"))
-        .repartition(max(4, spark.sparkContext.defaultParallelism), "slice")
-        .sortWithinPartitions("slice")
-        .mapInArrow(_bitmap_slices, "slice long, bits binary")
-    )
-    step = 1 << (SLICE_BITS - 3)
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for part, bits in slices.collect():  # bounded: 2 ** BITMAP_BITS bits in all
-        bitmap[part * step : (part + 1) * step] = np.frombuffer(bits, np.uint8)
+    bits = sketch.bits_for(number)
+    bitmap = sketch.dense_table(counts.select(F.shiftrightunsigned("key", 64 - bits).alias("slot"), F.lit(1).alias("value")), bits, pack=True)
     shared = spark.sparkContext.broadcast((bitmap, hot))
-    sent = docs.mapInArrow(_travellers(kind, width, span, shared), _TRAVEL)
+    sent = docs.mapInArrow(_travellers(kind, width, span, bits, shared), _TRAVEL)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket(kind, width), "k1 long, k2 long, start long, n long")
+    found = sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_bucket(kind, width), "k1 long, k2 long, start long, n long, digest binary")
+    found = materialise(found, "found")
+    return found.filter("digest is null").drop("digest").unionByName(_later(found.filter("digest is not null")))
+
+
+def _later(windows: DataFrame) -> DataFrame:
+    """Windows with a digest that start after the first one with that digest."""
+    first = windows.groupBy("digest").agg(F.min(F.struct("k1", "k2", "start")).alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    pairs = hot_split_join(windows, first, ["digest"], "size", windows.count())
+    return pairs.filter(F.struct("k1", "k2", "start") > F.col("first")).select("k1", "k2", "start", "n")

@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from tessera.llm.textkernel import runs
 
 
+#: A bitmap has so many bits at most (64 MB); beyond that more rows pass a filter than need to.
+MOST_BITS = 29
+
+
+def bits_for(count: int) -> int:
+    """Bits of the slots of a bitmap for ``count`` keys: 16 slots a key, within fixed bounds."""
+    return min(max((16 * count).bit_length(), 16), MOST_BITS)
+
+
 def _slices(slice_bits: int, pack: bool):
     def row(part: int, cells: np.ndarray) -> pa.RecordBatch:
         cells = np.packbits(cells.astype(bool)) if pack else cells

@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN = {}
+from tessera.lineage import materialise, shared_dir
+
+__all__ = ["fresh_path", "free_names", "hot_split_join", "materialise", "shared_dir"]
 
 #: A key that holds more than this share of the rows is hot; so there are at most 1 / share of them.
 HOT_SHARE = 1 / 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if "dir" not in _OWN:
-        _OWN["dir"] = tempfile.mkdtemp(prefix="tessera-")
-    return "file://" + _OWN["dir"]
-
-
 def free_names(taken: list[str], *names: str) -> list[str]:
     """The names, with underscores before those that a column of ``taken`` has already (in any case)."""
     have, out = {t.lower() for t in taken}, []
@@ -39,18 +30,6 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}/{label}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    Spark's output commit keeps one attempt of each task, so a lost executor costs a
-    rerun of its tasks and nothing else.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hot_split_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """Left join to ``right`` (unique keys), with hot keys apart.
 

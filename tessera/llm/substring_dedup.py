@@ -2,82 +2,29 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import repeats
-from tessera.llm.textkernel import as_bytes
+from tessera.llm.cutting import with_keys, without_ranges
+from tessera.llm.repeats import repeated_windows
 
 #: Words of a window, and words of the runs whose least hash is the minimiser.
 WIDTH = 20
 SPAN = 5
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "word", width: int = WIDTH, span: int = SPAN) -> DataFrame:
-    """(k1, k2, ranges): per document the ranges of windows that also start earlier."""
-    found = repeats.repeated_windows(repeats.with_keys(docs, id_col, text_col), kind, width, span)
-    return found.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-
-
-def _cover(ranges: list[dict] | None, count: int, width: int) -> np.ndarray | None:
-    """Marks of the units that the windows cover; None if there are none."""
-    if not ranges:
-        return None
-    edge = np.zeros(count + 1, np.int64)
-    np.add.at(edge, [r["start"] for r in ranges], 1)
-    np.add.at(edge, [r["start"] + r["n"] + width - 1 for r in ranges], -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _keep(width: int, kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, removed, kept, cut = [], [], [], []
-            for text, ranges in zip(as_bytes(pa.chunked_array([batch["__text"]])), batch["__ranges"].to_pylist(), strict=True):
-                units = text.split() if kind == "word" else [x for x in text.split(b"\n") if x]
-                marks = _cover(ranges, len(units), width)
-                left = units if marks is None else [u for u, m in zip(units, marks.tolist(), strict=True) if not m]
-                counts.append(len(units))
-                removed.append(len(units) - len(left))
-                kept.append((b" " if kind == "word" else b"\n").join(left))
-                cut.append(marks is not None)
-            rest = [batch[c] for c in batch.schema.names if c not in ("__text", "__ranges")]
-            names = [c for c in batch.schema.names if c not in ("__text", "__ranges")]
-            yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(cut)],
-                [*names, "__n_units", "__n_removed", "__kept", "__sha", "__cut"],
-            )
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, span: int = SPAN) -> DataFrame:
+    """All rows and columns of ``docs`` plus what is left of their texts without windows that also start earlier.
 
-    return run
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "word", width: int = WIDTH, span: int = SPAN) -> DataFrame:
-    """All rows and columns of ``docs`` plus what is left of their texts.
-
-    Added: ``__n_units`` and ``__n_removed`` (units of the text, and of those the removed
-    ones), ``__kept`` (what is left, joined by one space or newline), ``__sha`` (its sha256),
-    ``__cut`` (whether a window of it also starts earlier). Defined cases: a null text
-    counts as empty and keeps nothing; a null id comes before all ids; rows with equal id
-    and text count as one document and keep the same; rows with equal id and other texts
-    are ordered by a hash of the text; texts with fewer than ``width`` units lose nothing;
-    an empty table gives an empty table. Columns of ``docs`` keep their names and values;
-    names that begin with two underscores are reserved.
+    Added: ``__n_units`` and ``__n_removed`` (words of the text, and of those the removed
+    ones), ``__kept`` (what is left, joined by one space), ``__sha`` (its sha256), ``__cut``
+    (whether a window of it also starts earlier). Defined cases: a null text counts as empty
+    and keeps nothing; a null id comes before all ids; rows with equal id and text count as
+    one document and keep the same; rows with equal id and other texts are ordered by a hash
+    of the text; texts with fewer than ``width`` words lose nothing; texts may be of any
+    length; an empty table gives an empty table. Columns of ``docs`` keep their names and
+    values; names that begin with two underscores are reserved.
     """
-    ranges = repeated_ranges(docs, id_col, text_col, kind, width, span).withColumnsRenamed({"k1": "__k1", "k2": "__k2", "ranges": "__ranges"})
-    first, second = repeats.order_keys(id_col, text_col)
-    keyed = docs.withColumns({
-        "__k1": first,
-        "__k2": second,
-        "__text": F.coalesce(F.col(text_col), F.lit("")),
-    })
-    joined = keyed.join(ranges, ["__k1", "__k2"], "left").drop("__k1", "__k2")
-    fields = [f for f in joined.schema.fields if f.name not in ("__text", "__ranges")]
-    from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
-
-    schema = StructType([*fields, StructField("__n_units", LongType()), StructField("__n_removed", LongType()), StructField("__kept", StringType()), StructField("__sha", StringType()), StructField("__cut", BooleanType())])
-    return joined.mapInArrow(_keep(width, kind), schema)
+    found = repeated_windows(with_keys(docs, id_col, text_col), "word", width, span)
+    ranges = found.select("k1", "k2", "start", (F.col("n") + (width - 1)).alias("n"))
+    return without_ranges(docs, ranges, id_col, text_col, "word")
