@@ -1,68 +1,90 @@
-"""Exact dedup (7): tree merge of sorted digest runs, in DataFrame operations only."""
+"""Exact dedup (7): tree merge of sorted digest runs, in DataFrame operations only.
+
+Rows are dealt to leaves; a leaf's digests, sorted and each once, are its run. In each round
+``FAN_IN`` neighbouring runs become one: the partitions that hold them exchange stripes, that
+is ranges of digests, so that each gets one stripe of all of them, merges it in digest order
+and keeps the best row of each text. A round leaves a ``FAN_IN``-th of the runs, in as many
+times the stripes; so the number of cells (run, stripe) stays the same, a cell is whole in one
+partition, and its size is bounded however many rows there are. After the last round one run
+is left, whose stripes hold each text once. A text that a third of all rows share is at
+most ``FAN_IN`` rows of any merge.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm.storage import materialise
+from tessera.llm.storage import free_names, hot_split_join, materialise
 
-#: Runs at the leaves, and runs that one merge joins. 256 leaves and a fan-in of 16 make two rounds.
-LEAVES = 256
-FAN_IN = 16
+#: Runs that one merge joins, and rows of a leaf on average.
+FAN_IN = 8
+LEAF_ROWS = 1 << 15
 
 #: Fixed value: the characters that do not count, as a Java pattern.
 WHITE = r"[\x20\x09-\x0D]+"
 
-_NO_ID = -(2**63)
-
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str, leaves: int = LEAVES) -> DataFrame:
-    """Per row: id, leaf run, digest (sha256 of the normalised text), its length and the code points of the text.
+def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: doc_id, row (its number), digest (sha256 of the normalised text), its length in bytes and the code points of the text.
 
-    The leaf depends on the row alone, so a rerun of a lost task gives the same runs.
+    The table is written before it is read, so a row has the same number for every reader.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    norm = normalised(F.col(text_col))
-    return docs.select(
+    text, norm = F.coalesce(F.col(text_col), F.lit("")), normalised(F.col(text_col))
+    rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.pmod(F.xxhash64(F.col(id_col), F.char_length(text)), F.lit(leaves)).cast("int").alias("run"),
+        F.monotonically_increasing_id().alias("row"),
         F.sha2(norm, 256).alias("digest"),
         F.octet_length(norm).alias("bytes"),
         F.char_length(text).cast("long").alias("points"),
     )
+    return materialise(rows, "digests")
 
 
-def _merge(level: DataFrame, partitions: int) -> DataFrame:
-    """One multiway merge: the runs of a node become one run, sorted by digest."""
-    return (
-        level.repartition(partitions, "digest", "bytes", "run")
-        .sortWithinPartitions("digest", "bytes", "run")
-        .groupBy("digest", "bytes", "run")
-        .agg(F.max("best").alias("best"), F.sum("size").alias("size"))
-    )
+def leaves_for(rows: int, leaf_rows: int = LEAF_ROWS, fan_in: int = FAN_IN) -> int:
+    """A power of ``fan_in``, two rounds at least, with at most ``leaf_rows`` rows a leaf on average."""
+    leaves = fan_in**2
+    while leaves * leaf_rows < rows:
+        leaves *= fan_in
+    return leaves
+
+
+def _merge(level: DataFrame) -> DataFrame:
+    """Each cell's rows, sorted by digest, with the best row of each text."""
+    cells = level.repartition("run", "stripe").sortWithinPartitions("run", "stripe", "digest", "bytes")
+    return cells.groupBy("run", "stripe", "digest", "bytes").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
 
 
-def tree_merge(rows: DataFrame, leaves: int = LEAVES, fan_in: int = FAN_IN) -> DataFrame:
-    """One row per distinct text: digest, bytes, best (points, then the smallest id, whose bits are flipped to make it the largest) and size.
+def tree_merge(rows: DataFrame, leaves: int, fan_in: int = FAN_IN) -> DataFrame:
+    """One row per distinct text: digest, bytes, best and size.
 
-    Round by round the runs of ``fan_in`` neighbours merge, as in a binomial tree. Each run
-    has a digest once, so a text that a third of all rows share costs a merge at most
-    ``fan_in`` rows. Digest and byte length are compared together at every level.
+    best: points, then the smallest id (bits flipped to make it the largest; rows without an id
+    come last), then the smallest row. Digest and byte length are compared together at every
+    level.
     """
-    best = F.struct("points", F.col("doc_id").isNotNull().alias("has_id"), F.bitwise_not(F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))).alias("flipped"))
-    level = rows.groupBy("digest", "bytes", "run").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("size"))
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = leaves
+    best = F.struct("points", F.col("doc_id").isNotNull().alias("has_id"), F.bitwise_not(F.coalesce(F.col("doc_id"), F.lit(0).cast("long"))).alias("flipped"), F.bitwise_not(F.col("row")).alias("row"))
+    run = F.pmod(F.xxhash64("row"), F.lit(leaves)).cast("long")
+    level = _merge(rows.select("digest", "bytes", run.alias("run"), F.lit(0).cast("long").alias("stripe"), best.alias("best"), F.lit(1).cast("long").alias("size")))
+    runs, stripes = leaves, 1
     while runs > 1:
-        level = _merge(level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")), partitions)
-        runs = -(-runs // fan_in)
-    return level.drop("run")
+        runs, stripes = runs // fan_in, stripes * fan_in
+        share = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")  # of 2 ** 32
+        level = _merge(level.withColumns({"run": F.floor(F.col("run") / fan_in), "stripe": F.shiftright(share * stripes, 32)}))
+    return level.drop("run", "stripe")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """The rows of ``digests`` with keep_id, size (null if alone) and kept."""
+    total = rows.count()
+    group = tree_merge(rows, leaves_for(total)).filter("size > 1")
+    group = group.select("digest", "bytes", F.when(F.col("best.has_id"), F.bitwise_not(F.col("best.flipped"))).alias("keep_id"), F.bitwise_not(F.col("best.row")).alias("first"), "size")
+    out = hot_split_join(rows, group, ["digest", "bytes"], "size", total)
+    alone = F.col("size").isNull()
+    return out.withColumns({"keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")), "kept": alone | (F.col("row") == F.col("first"))})
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,30 +93,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical without white space; of equal texts the one with the most
     code points stays, then the smallest id. Defined cases: a null text counts as empty, and
     all empty texts are one group; a null id loses every tie and is its own keep_id only if
-    no row of the group has an id; of rows with the same id and text one is kept (``kept`` is
-    true once per group); an empty table gives an empty table; other columns are not read.
+    no row with as many code points has an id; of rows with the same id and length one is kept
+    (``kept`` is true once per group); texts may be of any length; an empty table gives an empty
+    table; other columns are not read.
     """
-    rows = materialise(digests(docs, id_col, text_col), "digests")
-    leaf = rows.select("digest", "bytes", "run").distinct()
-    group = tree_merge(rows).filter("size > 1").select("digest", "bytes", F.when(F.col("best.has_id"), F.bitwise_not(F.col("best.flipped"))).alias("keep_id"), F.col("best.points").alias("most"), "size")
-    # Back down the tree: a text has at most one row per leaf here, so no key is hot.
-    told = leaf.join(group, ["digest", "bytes"])
-    out = rows.join(told, ["digest", "bytes", "run"], "left")
-    out = out.withColumn("keep_id", F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
-    same = (F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("size").isNull() | (F.col("points") == F.col("most")))
-    turn = F.row_number().over(Window.partitionBy("digest", "bytes", "run", "doc_id", "points").orderBy(F.lit(1)))
-    return out.withColumn("kept", same & (turn == 1)).select(
-        "doc_id", "keep_id", F.coalesce(F.col("size"), F.lit(1)).cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256")
-    )
+    out = _grouped(digests(docs, id_col, text_col))
+    return out.select("doc_id", "keep_id", F.coalesce(F.col("size"), F.lit(1)).cast("long").alias("group_size"), "kept", F.col("digest").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one row per text.
+    """The rows of ``docs`` that stay, with all their columns; one row per text, as in ``exact_groups``.
 
-    Rows that repeat an id and its text are one row afterwards.
+    Rows that repeat an id and its text are one row afterwards; columns may have any names.
     """
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias("__id"), F.col("text_sha256").alias("__digest"))
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "__digest": F.sha2(normalised(F.col(text_col)), 256)})
-    out = keyed.join(kept, ["__id", "__digest"], "left_semi")
-    turn = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(F.desc(F.char_length(F.coalesce(F.col(text_col), F.lit(""))))))
-    return out.withColumn("__turn", turn).filter("__turn = 1").drop("__turn", "__id", "__digest")
+    (number,) = free_names(docs.columns, "row")
+    numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    text, norm = F.coalesce(F.col(text_col), F.lit("")), normalised(F.col(text_col))
+    rows = numbered.select(F.col(id_col).cast("long").alias("doc_id"), F.col(number).alias("row"), F.sha2(norm, 256).alias("digest"), F.octet_length(norm).alias("bytes"), F.char_length(text).cast("long").alias("points"))
+    gone = _grouped(materialise(rows, "digests")).filter("not kept").select(F.col("row").alias(number))
+    return numbered.join(gone, number, "left_anti").drop(number)
