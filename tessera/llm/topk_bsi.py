@@ -6,6 +6,9 @@ shifted copy of the attribute's slices (of their complements where the weight is
 and full adders reduce each bit position until one slice is left. The k best rows are then
 selected from the most significant slice of the sum downward. The bits that the slices leave
 out bound the error of a sum; rows near the boundary are resolved with exact products.
+
+Vectors with a component beyond ``NARROW`` have no slices: they and what is compared with
+them are scored with whole numbers of any size.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ SLICES = 7
 BLOCK_ROWS = 1 << 13
 QUERY_ROWS = 1 << 12
 
-_SHORT = 1 << 15
+#: Components of sliced vectors, and their number, are at most this large, so 64 bits hold every sum.
+NARROW = 1 << 23
+NARROW_DIMS = 1 << 15
 
 
 class Block:
@@ -37,8 +42,8 @@ class Block:
         self.words = -(-n // 64)
         self.low = self.x.min(0) if n else np.zeros(self.dims, np.int64)
         high = (self.x.max(0) if n else self.low) - self.low
-        self.shift = np.array([max(0, int(h).bit_length() - slices) for h in high])
-        self.bits = np.array([int(h).bit_length() - s for h, s in zip(high, self.shift, strict=True)])
+        self.shift = np.array([max(0, int(h).bit_length() - slices) for h in high], np.int64)
+        self.bits = np.array([int(h).bit_length() - s for h, s in zip(high, self.shift, strict=True)], np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.bits)))
         coarse = (self.x - self.low) >> self.shift
         flags = np.zeros((int(self.first[-1]), self.words * 64), bool)
@@ -132,17 +137,57 @@ class Block:
         return self.ids[rows[best]], score[best]
 
 
-def _matrix(values: list[bytes], dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.int64).reshape(len(values), dims)
+class Index:
+    """Some rows as ``quantised`` gives them: a block of the narrow vectors, and the wide ones as lists."""
+
+    def __init__(self, ids: np.ndarray, x: list[bytes], dims: int):
+        plain = np.array([v[:1] == b"\0" for v in x], bool)
+        cells = np.frombuffer(b"".join([v[1:] for v, p in zip(x, plain, strict=True) if p]), np.int64).reshape(int(plain.sum()), dims)
+        narrow = (np.abs(cells) <= NARROW).all(1) & (dims <= NARROW_DIMS)
+        sliced = plain.copy()
+        sliced[plain] = narrow
+        self.ids, self.x, self.sliced = ids, x, sliced
+        self.block = Block(ids[sliced], cells[narrow])
+
+    def top(self, query_id: int, x: bytes, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the k best rows but the query's own: highest score first, ties to smaller ids."""
+        q, found = numbers(x), []
+        exactly = np.arange(len(self.ids))
+        if len(q) <= NARROW_DIMS and all(-NARROW <= c <= NARROW for c in q):
+            ids, score = self.block.top(query_id, np.array(q, np.int64), k)
+            found = list(zip(score.tolist(), ids.tolist(), strict=True))
+            exactly = np.flatnonzero(~self.sliced)
+        found += [(exact(q, numbers(self.x[i])), int(self.ids[i])) for i in exactly if self.ids[i] != query_id]
+        return sorted(found, key=lambda f: (-f[0], f[1]))[:k]
+
+
+def numbers(x: bytes) -> list[int]:
+    return np.frombuffer(x, np.int64, offset=1).tolist() if x[:1] == b"\0" else [int(c) for c in x[1:].split()]
+
+
+def exact(a: list[int], b: list[int]) -> int:
+    """The inner product; beyond 64 bits the nearest number that they hold."""
+    return max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True))))
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """(vec_id, dims, x): whole numbers floor(scale * component) as bytes, of the vectors that are complete and finite."""
+    """(vec_id, dims, x): whole numbers floor(scale * component) as bytes, of the vectors that are complete and finite.
+
+    x holds 64-bit numbers; where one does not fit, x is the numbers as text after a byte of 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [np.floor(scale * np.array(v, np.float64)).astype(np.int64) for v in batch["v"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array([len(v) for v in x], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "dims", "x"])
+            dims, x = [], []
+            for v in batch["v"].to_pylist():
+                with np.errstate(over="ignore"):
+                    y = np.floor(scale * np.array(v, np.float64))
+                dims.append(len(v))
+                if (np.abs(y) < 2.0**62).all():
+                    x.append(b"\0" + y.astype(np.int64).tobytes())
+                else:  # the floor of a float product, as for others; an infinite product is taken exactly
+                    x.append(b"\1" + " ".join(str(int(f)) if np.isfinite(f) else str(scale * int(c)) for f, c in zip(y.tolist(), v, strict=True)).encode())
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(dims, pa.int64()), pa.array(x, pa.binary())], ["vec_id", "dims", "x"])
 
     v = F.col(vector_col)
     finite = ~F.exists(v, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
@@ -156,10 +201,9 @@ def _search(k: int):
     def run(key: tuple, index: pa.Table, asked: pa.Table) -> pa.Table:
         found = []
         if len(index) and len(asked):
-            block = Block(index["vec_id"].to_numpy(), _matrix(index["x"].to_pylist(), key[2].as_py()))
+            rows = Index(index["vec_id"].to_numpy(), index["x"].to_pylist(), key[2].as_py())
             for q, x in zip(asked["vec_id"].to_pylist(), asked["x"].to_pylist(), strict=True):
-                ids, score = block.top(q, np.frombuffer(x, np.int64), k)
-                found += [(q, i, s) for i, s in zip(ids.tolist(), score.tolist(), strict=True)]
+                found += [(q, i, s) for s, i in rows.top(q, x, k)]
         columns = list(zip(*found, strict=True)) or [[], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names)
 
@@ -174,16 +218,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     or a component that is not finite, and rows without an id take no part; an empty vector
     has score 0; only vectors of one length meet; a query has no match in rows with its id;
     equal scores rank by id; repeated rows of ``vectors`` count once each, of ``queries``
-    once; with fewer than k rows all are returned. Products must fit 64 bits.
+    once; different vectors of one query id are one query, whose matches rank together; with
+    fewer than k rows all are returned; an empty table gives an empty table; other columns are
+    not read. Components may be of any size: scores are exact, and those beyond 64 bits are the
+    nearest number that they hold.
     """
     rows = quantised(vectors, id_col, vector_col, scale)
     asked = quantised(queries, id_col, vector_col, scale).dropDuplicates(["vec_id", "dims", "x"])
     n_rows, n_asked = vectors.count(), queries.count()
     blocks, sets = max(1, -(-n_rows // block_rows)), max(1, -(-n_asked // query_rows))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("long")
+    deal = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("long")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = rows.withColumn("block", deal(blocks)).withColumn("part", every(sets))
-    right = asked.withColumn("part", deal(sets)).withColumn("block", every(blocks))
+    left = rows.withColumn("block", deal(blocks, "vec_id", "x")).withColumn("part", every(sets))
+    right = asked.withColumn("part", deal(sets, "vec_id", "x")).withColumn("block", every(blocks))
     keys = ["block", "part", "dims"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
