@@ -81,6 +81,41 @@ def parse(text: str) -> list[tuple[str, str, tuple[int, int]]]:
     return out
 
 
+class Reader:
+    """Reads a formatted conversation from pieces of any size: what it knows of turns and spans is from the text alone.
+
+    ``feed`` returns the turns that are complete: role, body, and where the body stands in the
+    whole text. Only the turn that is not complete is held.
+    """
+
+    def __init__(self):
+        self.held, self.at, self.scanned = "", 0, 0
+
+    def feed(self, piece: str) -> list[tuple[str, str, tuple[int, int]]]:
+        self.held += piece
+        out, begin = [], 0
+        while True:
+            # In a body the string is escaped, so the first one with a newline ends the turn.
+            stop = self.held.find(END + "\n", max(begin, self.scanned))
+            if stop < 0:
+                break
+            role, body, (a, b), end = parse_turn(self.held, begin)
+            if end != stop + len(END) + 1:
+                raise GrammarError(f"the turn at {self.at + begin} has no end")
+            out.append((role, body, (self.at + a, self.at + b)))
+            begin = end
+            self.scanned = end
+        self.held, self.at = self.held[begin:], self.at + begin
+        self.scanned = max(0, len(self.held) - len(END))
+        return out
+
+    def close(self) -> int:
+        """How long the conversation was; text after the last turn is an error."""
+        if self.held:
+            raise GrammarError(f"the turn at {self.at} has no end")
+        return self.at
+
+
 def _reads_back(segment: str, role: str, text: str) -> bool:
     try:
         got_role, got_text, _, stop = parse_turn(segment)
@@ -130,8 +165,9 @@ def format_turns(turns: DataFrame) -> DataFrame:
     A conversation is its segments joined. Its rows are dealt by conv_id and streamed in
     order, so a task holds one batch however long a conversation is. Defined cases: a null
     text or role counts as empty; null conv_ids are one conversation; a null turn comes
-    first; equal turns are ordered by role and text; repeated rows are turns of their own; an
-    empty table gives an empty table; other columns are not read.
+    first; equal turns are ordered by role and text; repeated rows are turns of their own;
+    texts and conversations may be of any length; an empty table gives an empty table; other
+    columns are not read.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -140,20 +176,45 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def whole_conversations(segments: DataFrame) -> DataFrame:
-    """conv_id and formatted: the segments of each conversation joined."""
+    """conv_id and formatted: the segments of each conversation joined.
+
+    For conversations that fit a row; null conv_ids are one conversation, an empty table gives
+    an empty table.
+    """
     parts = F.array_sort(F.collect_list(F.struct("place", "segment")))
     return segments.groupBy("conv_id").agg(F.concat_ws("", F.transform(parts, lambda x: x["segment"])).alias("formatted"))
 
 
-def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    class Tally:
-        def __init__(self, conv):
-            self.conv, self.turns, self.loss_chars, self.chars = conv, 0, 0, 0
-            self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+def loss_text(formatted: str) -> str:
+    """What a formatted conversation trains on, unescaped: each assistant text once, in order."""
+    return "".join(unescape(formatted[a:b]) for role, _, (a, b) in parse(formatted) if role == LOSS_ROLE)
 
-        def row(self):
-            return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
+class _Tally:
+    """Digests of what the reader finds in one conversation."""
+
+    def __init__(self, conv):
+        self.conv, self.reader, self.turns, self.loss_chars = conv, Reader(), 0, 0
+        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def feed(self, segment: str, mask: tuple[int, int] | None) -> None:
+        begin, spans = self.reader.at + len(self.reader.held), []
+        for role, body, (a, b) in self.reader.feed(segment):
+            self.turns += 1
+            self.all.update(f"{role}\n{body}\n".encode())
+            if role == LOSS_ROLE:
+                spans.append((a - begin, b - begin))
+                self.loss_chars += len(body)
+                self.loss.update(body.encode())
+        if spans != ([mask] if mask else []):
+            raise GrammarError(f"conversation {self.conv}: the loss mask {mask} is not what the text says: {spans}")
+
+    def row(self) -> tuple:
+        chars = self.reader.close()
+        return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), chars
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     tally = None
@@ -163,15 +224,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if tally is None or conv != tally.conv:
                 if tally is not None:
                     done.append(tally.row())
-                tally = Tally(conv)
-            for role, body, _ in parse(segment):
-                tally.turns += 1
-                tally.all.update(f"{role}\n{body}\n".encode())
-            if start is not None:
-                said = unescape(segment[start:stop])
-                tally.loss_chars += len(said)
-                tally.loss.update(said.encode())
-            tally.chars += len(segment)
+                tally = _Tally(conv)
+            tally.feed(segment, None if start is None else (start, stop))
         yield _rows(done, names, types)
     if tally is not None:
         yield _rows([tally.row()], names, types)
@@ -183,5 +237,10 @@ def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.R
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Digests per conversation of what the parser reads from the segments of ``format_turns`` (in its order)."""
+    """Digests per conversation of what the grammar reads from the text of its segments, joined in the order of ``format_turns``.
+
+    Roles, texts, turn bounds and loss spans all come from the text; a loss mask that differs
+    from the spans found, and text that the grammar does not read, are a GrammarError. An empty
+    table gives an empty table.
+    """
     return segments.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
