@@ -213,8 +213,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("double").alias("__label"))
     some = known.orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(some), "__id")
-    got = rows.select("__text", "__label").mapInArrow(_feature_rows, "label double, x array<double>").limit(2 * sample_rows).collect()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("__text")).join(F.broadcast(some.select("__id").distinct()), "__id")
+    # Of rows that repeat an id, the text with the smallest hash: one row per labelled row, so the bound is exact.
+    one = found.groupBy("__id").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text"))).alias("__one"))
+    rows = one.join(F.broadcast(some), "__id").select("__one.__text", "__label")
+    got = rows.mapInArrow(_feature_rows, "label double, x array<double>").collect()
     got = sorted((r["label"], *r["x"]) for r in got)
     every = np.array(got, float).reshape(len(got), len(FEATURES) + 1)
     return fit(every[:, 1:], every[:, 0])
@@ -234,11 +238,12 @@ def _score(shared):
 def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows and columns of ``docs`` and a column ``__score``: 0 to 1, higher where label 1 is likelier.
 
-    Defined cases: a null text counts as empty, and empty texts are scored like others; null
-    ids and repeated rows are scored and never learnt twice as many as they are labelled;
-    labels without a document, and null labels, are ignored; without labels the score is the
-    same for all rows; an empty table gives an empty table; names that begin with two
-    underscores are reserved.
+    Defined cases: a null text counts as empty, and empty texts are scored like others; rows
+    with a null id, and repeated rows, are scored; of rows with one id one is learnt, that whose
+    text has the smallest hash; labels without a document, and null labels, are ignored; equal
+    texts have equal scores; texts may be of any length; without labels the score is the same
+    for all rows; an empty table gives an empty table; names that begin with two underscores are
+    reserved.
     """
     model = train(docs, labels, id_col, text_col, label_col, sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few tables of at most 63 bins
