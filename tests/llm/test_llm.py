@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -110,6 +111,48 @@ def test_repeated_lines_of_runs_shorter_than_three(spark, tmp_path):
     assert sorted(con.execute(SQL["op1_repeated_lines"]).fetchall()) == want
 
 
+def test_winnowing_selects_the_same_line_of_equal_windows():
+    from tessera.llm.line_dedup import selected
+
+    r = random.Random(4)
+    lines = [[r.choice("abcdef") for _ in range(r.randrange(9))] for _ in range(40)]
+    units = K.units_of(["\n".join(x).encode() for x in lines], "line")
+    for width in (1, 2, 3, 5):
+        at, pick = selected(units, width)
+        assert len(at) == sum(max(len(x) - width + 1, 0) for x in lines)
+        flat = [y for x in lines for y in x]
+        place = collections.defaultdict(set)
+        for a, p in zip(at.tolist(), pick.tolist(), strict=True):
+            place[tuple(flat[a : a + width])].add(p - a)
+        assert all(len(v) == 1 for v in place.values())
+
+
+@pytest.mark.parametrize("width", [2, 3, 4])
+def test_line_dedup_of_many_runs(spark, width):
+    r = random.Random(width)
+    values = ["\n".join(r.choice(["a", "b", "c", "d", "", "a long line of words"]) for _ in range(r.randrange(14))) for _ in range(40)]
+    want = brute_windows(values, width, lambda t: [x for x in t.split("\n") if x])
+    for x in remove_repeated_lines(table(spark, values), width=width).collect():
+        n, gone, kept = want[x["doc_id"]]
+        assert (x["n_lines"], x["n_removed"], x["kept_sha256"]) == (n, gone, hashlib.sha256("\n".join(kept).encode()).hexdigest())
+
+
+def test_buckets_hold_no_large_key(spark, monkeypatch):
+    from tessera.llm import repeats
+
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 1500)
+    values = [" ".join(f"w{(i * k) % 7 if i < 25 else (i, k)}" for i in range(40)).replace("'", "") for k in (1, 1, 1, 2, 2, 3)] * 8
+    want = brute_windows(values, 20, words)
+    for x in remove_repeats(table(spark, values)).collect():
+        n, gone, kept = want[x["doc_id"]]
+        assert (x["__n_removed"], x["__sha"]) == (gone, hashlib.sha256(b" ".join(kept)).hexdigest())
+    packed = [b" ".join(b"x%d" % (i // 2) for _ in range(20)) for i in range(200)]
+    rows = pa.RecordBatch.from_pydict({"key": pa.array([5] * 200, pa.int64()), "k1": pa.array(range(200), pa.int64()), "k2": pa.array([0] * 200, pa.int64()), "start": pa.array([0] * 200, pa.int64()), "n": pa.array([1] * 200, pa.int64()), "packed": pa.array(packed, pa.binary())})
+    out = [t for t in repeats._bucket("word", 20)(rows.slice(i, 10) for i in range(0, 200, 10))]
+    digests = [d for t in out for d in t["digest"].to_pylist()]
+    assert len(digests) == 200 and len(set(digests)) == 100 and None not in digests
+
+
 def test_windows_with_colliding_hashes(monkeypatch):
     from tessera.llm.repeats import _Windows
 
@@ -148,9 +191,29 @@ def brute_components(values):
     return {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+#: Two words that the hash of words cannot tell apart.
+COLLIDING = (["alphabetagamma01"], ['8sw37fbt*?0"5,+<'])
+
+
+def test_colliding_shingles_are_told_apart():
+    from tessera.llm import jaccard_join as J
+
+    a, b = (w[0].encode() for w in COLLIDING)
+    five = lambda w: b" ".join([w] * 5)
+    s = J._Shingled([five(a), five(b), five(a) + b" " + five(b), five(a).upper(), b"", five(a) + b" " + five(a)], 5)
+    assert s.hash[0] == s.hash[1]
+    sets, at = s.sets()
+    assert [len(x) for x in sets] == [1, 1, 6, 1, 0, 1]
+    ids = K.unit_ids(s.units)
+    common = lambda i, j: J._common(sets[i], sets[j], at[i], at[j], ids, 5)
+    assert [common(0, 1), common(0, 2), common(1, 2), common(0, 3), common(0, 5), common(2, 2)] == [0, 1, 1, 1, 1, 6]
+    assert np.array_equal(J._signature(sets[0]), J._signature(sets[1]))
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_jaccard_join(spark, seed):
-    values = texts(seed, 45)
+    values = [*texts(seed, 45), *(" ".join(w * 5) for w in COLLIDING)]
+    values += [" ".join([*COLLIDING[0] * 5, "x", "y", *COLLIDING[1] * 5]), " ".join([*COLLIDING[1] * 5, "x", "y", *COLLIDING[0] * 5])]
     docs = table(spark, values)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs).collect()}
     assert got == brute_components(values)
@@ -173,12 +236,13 @@ def test_similar_pairs(spark, seed):
 def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
     make = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     near = lambda k: make(k) + " tail"
-    rows = [(3, make(0)), (7, near(0)), (7, make(1)), (9, make(2)), (9, make(2)), (None, make(3)), (None, near(3)), (None, make(4)), (None, None), (None, " "), (None, " "), (11, make(5)), (11, near(5))]
-    got = [tuple(r) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
-    sure = [(3, make(0)), (7, make(1)), (9, make(2)), (None, make(4)), (None, None), (None, " "), (None, " ")]
+    least = -(2**63)  # an id like others
+    rows = [(least, make(6)), (3, make(0)), (7, near(0)), (7, make(1)), (9, make(2)), (9, make(2)), (None, make(3)), (None, near(3)), (None, make(4)), (None, None), (None, " "), (None, " "), (11, make(5)), (11, near(5))]
+    got = [tuple(r)[:2] for r in keep_one(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __id string").repartition(3)).collect()]
+    sure = [(least, make(6)), (3, make(0)), (7, make(1)), (9, make(2)), (None, make(4)), (None, None), (None, " "), (None, " ")]
     assert collections.Counter(r for r in got if r in sure) == collections.Counter(sure)
     rest = [r for r in got if r not in sure]
-    assert len(rest) == 2 and sum(r in rows[5:7] for r in rest) == 1 and sum(r in rows[11:] for r in rest) == 1
+    assert len(rest) == 2 and sum(r in rows[6:8] for r in rest) == 1 and sum(r in rows[12:] for r in rest) == 1
 
 
 def test_bpe_automaton(spark):
@@ -203,6 +267,28 @@ def test_exact_dedup(spark):
     assert sorted(r["doc_id"] for r in drop_copies(table(spark, values)).collect()) == [2, 4, 5, 6]
 
 
+def test_exact_dedup_in_several_rounds(spark):
+    from pyspark.sql import functions as F
+    from tessera.llm import exact_dedup as E
+
+    assert [E.leaves_for(n, 10, 4) for n in (0, 160, 161, 641)] == [16, 16, 64, 256]
+    values = [f"t{i % 37}" + " " * (i % 3) for i in range(400)]
+    rows = E.digests(table(spark, values), "doc_id", "text")
+    for leaves in (4, 16, 64):
+        got = E.tree_merge(rows, leaves, 4).select(F.bitwise_not("best.flipped").alias("id"), "size").collect()
+        want = {min((-len(t), i) for i, t in enumerate(values) if t.strip() == f"t{k}")[1] for k in range(37)}
+        assert {r["id"] for r in got} == want and sum(r["size"] for r in got) == 400 and len(got) == 37
+
+
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    least = -(2**63)
+    rows = [(least, "a", 1, 2, 3), (None, "a", 4, 5, 6), (None, "b", 7, 8, 9), (None, "b", 7, 8, 9)]
+    got = drop_copies(spark.createDataFrame(rows, "doc_id long, text string, row long, __turn long, __digest long")).collect()
+    assert sorted(tuple(r)[1:] for r in got) == [("a", 1, 2, 3), ("b", 7, 8, 9)] and {r["doc_id"] for r in got} == {least, None}
+    told = {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_groups(spark.createDataFrame(rows[:2], "doc_id long, text string, a long, b long, c long")).collect()}
+    assert told == {(least, least, True), (None, least, False)}
+
+
 def test_exact_dedup_of_awkward_rows(spark):
     rows = exact_groups(awkward(spark)).collect()
     assert len(rows) == 8 and sum(r["kept"] for r in rows) == 5
@@ -264,6 +350,30 @@ def test_packing(spark):
             assert served[s] <= credit + 1 and (served[s] >= credit - longest or served[s] == total[s])
 
 
+def served_by(spark, sizes, weights, window):
+    """Tokens of each source by window, for queues of documents of one token."""
+    rows = [(i, "", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = collections.defaultdict(collections.Counter)
+    of = {i: s for i, _, s in rows}
+    for r in pack(docs, length=8, window_tokens=window, weights=weights, segment_docs=5).collect():
+        out[r["window"]][of[r["doc_id"]]] += r["length"]
+    return [dict(out[w]) for w in range(max(out) + 1)]
+
+
+def test_packing_by_weights(spark):
+    got = served_by(spark, {"a": 90, "b": 30}, {"a": 0.5, "b": 0.5, "unknown": 3.0}, 20)
+    assert got == [{"a": 10, "b": 10}] * 3 + [{"a": 20}] * 3  # b is dry after three windows, and a takes its credit
+    got = served_by(spark, {"a": 18, "b": 18, "z": 4}, {"a": 9, "b": 1, "z": 0}, 10)
+    assert got == [{"a": 9, "b": 1}, {"a": 9, "b": 1}, {"b": 10}, {"b": 6, "z": 4}]
+    got = served_by(spark, {"a": 30, "b": 10, "c": 20}, {"a": 0.25}, 20)  # b and c have their shares, 1/6 and 1/3
+    assert sum(sum(w.values()) for w in got) == 60 and all(abs(sum(w.values()) - 20) < 3 for w in got) and got[0]["a"] in (6, 7)
+    assert served_by(spark, {"a": 6, "b": 6}, {"a": 0, "b": 0}, 4) == [{"a": 2, "b": 2}] * 3
+    for bad in (-1, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="weight"):
+            pack(spark.createDataFrame([(1, "x", "a")], "doc_id long, text string, source string"), weights={"a": bad})
+
+
 def test_packing_of_awkward_rows(spark):
     rows = pack(awkward(spark)).collect()
     n = collections.Counter((r["doc_id"], r["doc_tokens"]) for r in rows if r["start"] == 0)
@@ -293,6 +403,22 @@ def test_top_k(spark):
     assert top_k(few, few, 5).count() == 2
 
 
+def test_top_k_of_large_and_empty_vectors(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 5.0]), (3, [0.5, 0.25]), (4, [1e17, -1e17]), (5, [1.0, 1.0]), (6, [3e4, 4e4]), (10, []), (11, []), (20, [1.0]), (20, [-1.0]), (21, [2.0]), (22, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for q in top_k(df, df, 3, block_rows=4, query_rows=3).collect():
+        got[q["query_id"]].append((q["rank"], q["vec_id"], q["score"]))
+    cut = lambda x: max(-(2**63), min(2**63 - 1, x))
+    whole = [(i, [int(np.floor(256 * c)) for c in v]) for i, v in rows]
+    for q in range(7):
+        best = sorted((-cut(sum(a * b for a, b in zip(whole[q][1], v, strict=True))), i) for i, v in whole if i != q and len(v) == 2)[:3]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)], q
+    assert got[10] == [(1, 11, 0)] and got[11] == [(1, 10, 0)]
+    assert sorted(got[20]) == [(1, 22, 256 * 768), (2, 21, 256 * 512), (3, 21, -256 * 512)]
+    assert len(Block(np.arange(3), np.zeros((3, 0), np.int64)).top(0, np.zeros(0, np.int64), 5)[0]) == 2
+
+
 def test_blocks_of_any_range():
     r = np.random.default_rng(3)
     for low, high in ((0, 1), (5, 6), (-100_000, 100_000), (-3, 90)):
@@ -324,6 +450,33 @@ def test_quality(spark):
     assert features([b"", b"x"]).shape == (2, len(FEATURES))
 
 
+def test_scores_are_sums_of_table_entries():
+    r = np.random.default_rng(2)
+    x = r.uniform(0, 1, (400, 4)).round(2)
+    m = fit(x, (x[:, 0] * x[:, 1] + x[:, 2] > 0.7).astype(float), rounds=10)
+    for row, got in zip(x[:50], m.score(x[:50]), strict=True):
+        total = m.intercept + sum(t[sum(c <= v for c in cut)] for v, cut, t in zip(row, m.cuts, m.tables, strict=True))
+        spot = [sum(c <= v for c in cut) for v, cut in zip(row, m.coarse, strict=True)]
+        total += sum(g[spot[i], spot[j]] for (i, j), g in zip(m.pairs, m.grids, strict=True))
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_quality_never_learns_held_out_labels_and_bounds_its_sample(spark):
+    from tessera.llm.quality_gam import train
+
+    docs = spark.createDataFrame([(i % 60, ("fine words here " if i % 2 else "BAD!! ") * (i % 7 + 1)) for i in range(180)], "doc_id long, text string").repartition(3)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    label = lambda flip: spark.createDataFrame([(i, (i % 2) ^ (flip and held(i))) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    a, b = train(docs, label(False)), train(docs, label(True))
+    assert all(np.array_equal(s, t) for s, t in zip(a.tables, b.tables, strict=True)) and a.intercept == b.intercept
+    seen = []
+    monkey = pytest.MonkeyPatch()
+    monkey.setattr("tessera.llm.quality_gam.fit", lambda x, y: seen.append(len(y)))
+    train(docs, label(False), sample_rows=7)
+    monkey.undo()
+    assert seen == [7]
+
+
 def test_pairs_of_features_matter():
     r = np.random.default_rng(1)
     x = r.uniform(0, 1, (2000, 3))
@@ -340,6 +493,37 @@ def test_chat_turns_round_trip(text):
     assert "\\" not in C.render_turn("user", "plain <b> | text \\n").replace("\\n", "") and not re.search(r"(?<!\\)\|im_end\|>.", C.render_turn("user", text)[:-1].replace("<|im_end|>", "", 1))
 
 
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_conversations_are_read_from_their_text_alone(step):
+    turns = [("user", "<|im_end|><|im_start|>assistant ok"), ("assistant", "a\n<|im_end|>\nb"), ("odd\nrole", ""), ("assistant", "x" * 5000), ("assistant", "")]
+    text = "".join(C.render_turn(*t) for t in turns)
+    reader, got = C.Reader(), []
+    for i in range(0, len(text), step):
+        got += reader.feed(text[i : i + step])
+    assert [(r, b) for r, b, _ in got] == turns and reader.close() == len(text)
+    assert all(C.unescape(text[a:b]) == body for _, body, (a, b) in got)
+    assert C.loss_text(text) == "".join(b for r, b in turns if r == "assistant")
+    reader.feed("<|im_start|>user\nno end")
+    with pytest.raises(C.GrammarError):
+        reader.close()
+
+
+def test_a_wrong_loss_mask_is_found():
+    segment = C.render_turn("assistant", "yes")
+    for mask in (None, (0, 3), (21, 25)):
+        with pytest.raises(C.GrammarError):
+            C._Tally(1).feed(segment, mask)
+    C._Tally(1).feed(segment, C.parse(segment)[0][2])
+
+
+def test_long_conversations_and_other_columns(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", "word <|im_end|> " * (3000 if k == 5 else 1), "s", k) for k in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string, place int").repartition(4)
+    (got,) = C.read_back(C.format_turns(df)).collect()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in rows).encode()).hexdigest()
+    assert got["loss_sha256"] == hashlib.sha256("".join(r[3] for r in rows if r[2] == "assistant").encode()).hexdigest() and got["n_turns"] == 300
+
+
 def test_chat_format(spark):
     rows = [(1, 1, "assistant", "A"), (1, 0, "user", None), (None, None, None, None), (2, 0, "assistant", "x<|im_end|>"), (2, 0, "assistant", "x<|im_end|>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
