@@ -37,8 +37,14 @@ def full_routes(routes: DataFrame, prefixes: DataFrame) -> DataFrame:
     return out.select("handler", F.upper("method").alias("method"), S.http_normalise(S.join_path(F.coalesce("prefix", F.lit("")), F.col("path"))).alias("path")).distinct()
 
 
-def _suffix(segs: Column, k: Column) -> Column:
-    return F.slice(segs, F.size(segs) - k + 1, k)
+def _shape(path: Column | str) -> Column:
+    """Segments of a path, with every parameter as ``{}``."""
+    return F.transform(S.segments(path), lambda x: F.when(S.is_param(x), F.lit("{}")).otherwise(x))
+
+
+def _ends(shape: Column, longest: Column) -> Column:
+    """(end, k) for the last k segments, k from 1 to ``longest``."""
+    return F.transform(F.sequence(F.lit(1), longest), lambda k: F.struct(F.array_join(F.slice(shape, F.size(shape) - k + 1, k), "/").alias("end"), k.alias("k")))
 
 
 def match_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
@@ -47,26 +53,31 @@ def match_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
     calls: caller, method, path; routes: handler, method, path. Paths are aligned at their
     ends: parameters match parameters only, literals must be equal. Longer matches win, then
     more literals, fewer extra segments, the shorter route, and the smaller handler. Paths
-    without a literal and external URLs take no part. Rows meet by method and by the last
-    literal with the number of segments behind it, not every call with every route.
+    without a literal and external URLs take no part.
+
+    An alignment is the equality of one path's shape with an end of the other's, so rows meet
+    by equality of (method, end), of which a path has as many as segments. Only the best
+    route of each end travels, and each distinct path is matched once.
     """
     c = calls.select("caller", F.upper("method").alias("method"), S.http_normalise("path").alias("path")).groupBy("caller", "method", "path").agg(F.count(F.lit(1)).cast("int").alias("weight"))
     c = c.filter(S.has_literal("path") & ~S.is_external_url("path"))
     r = routes.select("handler", F.upper("method").alias("method"), S.http_normalise("path").alias("route")).distinct().filter(S.has_literal("route"))
-    c, r = c.withColumn("cs", S.segments("path")), r.withColumn("rs", S.segments("route"))
-    anchor = lambda s: F.array_position(F.transform(F.reverse(s), lambda x: ~S.is_param(x)), True)
-    c = c.withColumn("back", anchor(F.col("cs"))).withColumn("word", F.element_at(F.reverse("cs"), F.col("back").cast("int")))
-    r = r.withColumn("back", anchor(F.col("rs"))).withColumn("word", F.element_at(F.reverse("rs"), F.col("back").cast("int")))
-    both = c.join(r, ["method", "word", "back"])
-    k = F.least(F.size("cs"), F.size("rs"))
-    same = lambda a, b: (S.is_param(a) & S.is_param(b)) | (a == b)
-    ok = F.forall(F.zip_with(_suffix(F.col("cs"), k), _suffix(F.col("rs"), k), same), lambda x: x)
-    extra = F.abs(F.size("cs") - F.size("rs"))
-    literals = F.size(F.filter(_suffix(F.col("rs"), k), lambda s: ~S.is_param(s)))
-    confidence = F.when(F.col("path") == F.col("route"), 1.0).when(extra == 0, 0.9).otherwise(0.8)
-    rank = Window.partitionBy("caller", "method", "path").orderBy(F.desc("k"), F.desc("literals"), "extra", F.length("route"), "handler", "route")
-    out = both.filter(ok).withColumns({"k": k, "literals": literals, "extra": extra, "confidence": confidence}).withColumn("place", F.row_number().over(rank))
-    return out.filter("place = 1").select("caller", "method", "path", "handler", "route", "confidence", "weight")
+    r = r.select("method", _shape("route").alias("shape"), F.struct(F.length("route").alias("size"), "handler", "route").alias("to"))
+    r = r.groupBy("method", "shape").agg(F.min("to").alias("to"))
+    p = c.select("method", "path").distinct().withColumn("shape", _shape("path"))
+    n, least = F.size("shape"), F.min(F.struct("extra", "to"))
+    literals = lambda end: F.size(F.filter(F.split(end, "/"), lambda s: s != "{}"))
+    # The route is an end of the path (or all of it), or the path is an end of the route.
+    whole = r.select("method", F.array_join("shape", "/").alias("end"), "to")
+    longer = p.select("method", "path", n.alias("n"), F.inline(_ends(F.col("shape"), n)))
+    kept = longer.join(whole, ["method", "end"]).select("method", "path", "end", "k", (F.col("n") - F.col("k")).alias("extra"), "to")
+    ends = r.filter(n > 1).select("method", "to", n.alias("n"), F.inline(_ends(F.col("shape"), n - 1)))
+    ends = ends.select("method", "end", "k", "to", (F.col("n") - F.col("k")).alias("extra")).groupBy("method", "end", "k").agg(least.alias("best"))
+    omitted = p.select("method", "path", F.array_join("shape", "/").alias("end")).join(ends, ["method", "end"]).select("method", "path", "end", "k", F.col("best.extra").alias("extra"), F.col("best.to").alias("to"))
+    rank = F.struct((-F.col("k")).alias("k"), (-literals(F.col("end"))).alias("literals"), "extra", "to")
+    best = kept.unionByName(omitted).groupBy("method", "path").agg(F.min(rank).alias("best"))
+    confidence = F.when(F.col("path") == F.col("best.to.route"), 1.0).when(F.col("best.extra") == 0, 0.9).otherwise(0.8)
+    return c.join(best, ["method", "path"]).select("caller", "method", "path", F.col("best.to.handler").alias("handler"), F.col("best.to.route").alias("route"), confidence.alias("confidence"), "weight")
 
 
 def unmatched(calls: DataFrame, matched: DataFrame) -> DataFrame:

@@ -138,10 +138,19 @@ def measures(changes: DataFrame, *by: str) -> DataFrame:
 
 
 def model_digest(model: Model) -> DataFrame:
-    """A digest of all nodes and edges that does not depend on their order."""
-    part = lambda df: df.drop("model_id").agg(F.bit_xor(F.xxhash64(F.struct("*"))).alias("x"), F.count(F.lit(1)).alias("n"))
-    a, b = part(model.nodes).select(F.col("x").alias("nx"), F.col("n").alias("nn")), part(model.edges).select(F.col("x").alias("ex"), F.col("n").alias("en"))
-    return a.crossJoin(b).select(F.sha2(F.concat_ws("|", "nx", "nn", "ex", "en"), 256).alias("digest"))  # one row each
+    """A digest of all nodes and edges, as a bag: it does not depend on their order, and repeated rows count."""
+    rows = [df.drop("model_id").select(F.concat(F.lit(kind), F.to_json(F.struct(*sorted(c for c in df.columns if c != "model_id")), {"ignoreNullFields": "false"})).alias("row")) for kind, df in (("n", model.nodes), ("e", model.edges))]
+    return bag_digest(rows[0].union(rows[1]), "row")
+
+
+def bag_digest(df: DataFrame, *columns: str, buckets: int = 4096) -> DataFrame:
+    """The sha256 of the sha256s of all rows in order, taken by bucket of the leading digits first."""
+    rows = df.select(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)).alias("bucket")
+    rows = rows.select(F.pmod(F.conv(F.substring("h", 9, 8), 16, 10).cast("long"), F.lit(buckets)).alias("inner"), bucket, F.concat_ws(":", "h", F.col("n").cast("string")).alias("h"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    small = rows.groupBy("bucket", "inner").agg(joined("h").alias("h")).groupBy("bucket").agg(joined(F.concat_ws(":", F.col("inner").cast("string"), F.col("h"))).alias("h"))
+    return small.agg(joined(F.concat_ws(":", F.col("bucket").cast("string"), F.col("h"))).alias("digest"))
 
 
 def ordered_digest(df: DataFrame, *order: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.lineage import materialise
 from tessera.model import Model
 
 #: Field weights, and the constants of BM25.
@@ -35,11 +38,15 @@ def postings(documents: DataFrame, weights: dict[str, float] | None = None) -> D
     return rows.groupBy(F.col("x.term").alias("term"), "id").agg(F.sum("x.w").alias("tf"), F.first("length").alias("length"))
 
 
-def index_nodes(model: Model) -> DataFrame:
-    """Postings of all nodes; routes count as part of the signature."""
+def node_documents(model: Model) -> DataFrame:
+    """The fields of all nodes that a search reads; routes count as part of the signature."""
     routes = F.coalesce(F.get_json_object("attrs", "$.http_routes"), F.lit(""))
-    docs = model.nodes.select("id", "name", "display_kind", "path", F.concat_ws(" ", "signature", routes).alias("signature"), F.substring("doc", 1, TEXT_LIMIT).alias("doc"), "summary")
-    return postings(docs)
+    return model.nodes.select("id", "name", "display_kind", "path", F.concat_ws(" ", "signature", routes).alias("signature"), F.substring("doc", 1, TEXT_LIMIT).alias("doc"), "summary")
+
+
+def index_nodes(model: Model) -> DataFrame:
+    """Postings of all nodes."""
+    return postings(node_documents(model))
 
 
 def search(index: DataFrame, query: str, documents: int, mean_length: float) -> DataFrame:
@@ -69,13 +76,56 @@ def query_words(query: str) -> list[str]:
     return words
 
 
+def search_documents(documents: DataFrame, query: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """(id, score) of documents (id and fields) without an index: two scans, and no shuffle but one row of counts.
+
+    Scores are those of ``search`` over ``postings`` of the documents.
+    """
+    words, weights = query_words(query), weights or WEIGHTS
+    if not words:
+        return documents.select("id", F.lit(0.0).alias("score")).limit(0)
+    found = {f: terms(F.col(f)) for f in weights if f in documents.columns}
+    length = sum((F.size(t) for t in found.values()), F.lit(0))
+    begins = lambda t, w: F.size(F.filter(t, lambda x: x.startswith(w)))
+    tf = [sum((begins(t, w) * F.lit(weights[f]) for f, t in found.items()), F.lit(0.0)) for w in words]
+    rows = materialise(documents.select("id", length.alias("length"), F.array(*tf).alias("tf")).filter("length > 0"), "counts")
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(words))]).first()
+    score = F.lit(0.0)
+    for k in range(len(words)):
+        idf = max(1e-6, math.log((counts["n"] - counts[f"df{k}"] + 0.5) / (counts[f"df{k}"] + 0.5)))
+        here = F.col("tf")[k]
+        score = score + F.lit(idf) * here * (K1 + 1) / (here + K1 * (1 - B + B * F.col("length") / F.lit(float(counts["mean"] or 1.0))))
+    return rows.filter(F.forall("tf", lambda x: x > 0)).select("id", score.alias("score"))
+
+
+#: Leading characters of a term that name the folder of its postings.
+PREFIX = 2
+
+
+def store_index(documents: DataFrame, path: str, weights: dict[str, float] | None = None) -> None:
+    """Write postings under ``path``, in folders by the first characters of their terms, and the counts of the index."""
+    index = materialise(postings(documents, weights), "postings")
+    folder = F.hex(F.substring("term", 1, PREFIX))  # any letter makes a valid folder name
+    index.withColumn("folder", folder).repartition("folder").sortWithinPartitions("folder", "term", "id").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    lengths = index.groupBy("id").agg(F.first("length").alias("length"))
+    lengths.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def search_stored(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """(id, score) from a stored index: only the folders of the query's words are read."""
+    counts, index = spark.read.parquet(f"{path}/counts").first(), spark.read.parquet(f"{path}/postings")
+    some = F.lit(False)
+    for w in query_words(query):
+        part = w[:PREFIX].encode().hex().upper()
+        some = some | (F.col("folder") == part if len(w) >= PREFIX else F.col("folder").startswith(part))
+    return search(index.filter(some).select("term", "id", "tf", "length"), query, counts["documents"], counts["mean"])
+
+
 def search_nodes(model: Model, query: str, kinds: list[str] | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
     """Nodes by rank; a query with a slash also finds nodes by pieces of their routes."""
     from tessera.operators.graph import page
 
-    index = index_nodes(model)
-    stats = index.select("id", "length").distinct().agg(F.count(F.lit(1)), F.avg("length")).first()
-    found = search(index, query, stats[0] or 0, stats[1] or 1.0)
+    found = search_documents(node_documents(model), query)
     if "/" in query:
         by_route = model.nodes.filter(F.col("attrs").contains(query.strip())).select("id", F.lit(-1.0).alias("score"))
         found = found.unionByName(by_route.join(found, "id", "left_anti"))
@@ -84,5 +134,3 @@ def search_nodes(model: Model, query: str, kinds: list[str] | None = None, limit
     if kinds:
         out = out.filter(F.col("kind").isin(*kinds) | F.col("display_kind").isin(*kinds))
     return page(out, [F.desc("score"), F.col("id")], limit, offset)
-
-

@@ -241,9 +241,7 @@ _WORDS = "list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')),
     SELECT id, round(score, 6)::DOUBLE AS score FROM sc WHERE k = 2""")
 def search_bm25(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("doc"))
-    index = search.postings(docs, {"doc": 1.0})
-    n, mean = index.select("id", "length").distinct().agg(F.count(F.lit(1)), F.avg("length")).first()
-    return search.search(index, "the on", n, mean).select("id", F.round("score", 6).alias("score"))
+    return search.search_documents(docs, "the on", {"doc": 1.0}).select("id", F.round("score", 6).alias("score"))
 
 
 _PATH = "regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), '[?#].*$', '')"
@@ -255,8 +253,9 @@ def http_normalise(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.http_normalise("url").alias("path"))
 
 
-@query("""SELECT page_id, url, regexp_matches(url, '^https?://', 'i') AND contains(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^:/?#]*)', 1)), '.')
-    AND NOT regexp_matches(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^:/?#]*)', 1)), '(^localhost$)|(^127[.]0[.]0[.]1$)|(^0[.]0[.]0[.]0$)|([.](local|localhost|internal|test|example|invalid)$)') AS outside FROM pages""")
+@query("""WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^(?i:https?)://([^/?#]+)', 1)) AS place FROM pages), h AS (SELECT *, string_split(place, ':')[1] AS host FROM u)
+    SELECT page_id, url, place <> '' AND host NOT IN ('localhost', '127.0.0.1', '0.0.0.0', '::1')
+    AND len(list_filter(['.local', '.test', '.example', '.invalid', '.localhost'], lambda e: ends_with(host, e))) = 0 AS outside FROM h""")
 def external_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", S.is_external_url("url").alias("outside"))
 

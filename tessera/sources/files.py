@@ -149,8 +149,9 @@ def to_parse(now: DataFrame, stored: DataFrame) -> DataFrame:
 
 def fingerprint(now: DataFrame) -> str:
     """One value that is equal for equal states of all files."""
-    r = now.agg(F.bit_xor(F.xxhash64("path", "content_hash", "parser_version")), F.count(F.lit(1))).first()
-    return f"{r[0]}-{r[1]}"
+    from tessera.operators.rollups import bag_digest
+
+    return bag_digest(now, "path", "content_hash", "parser_version").first()[0]
 
 
 def with_cache(files: DataFrame, cache: DataFrame, parse) -> tuple[DataFrame, DataFrame]:

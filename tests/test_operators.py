@@ -63,6 +63,25 @@ def test_search(model):
     assert Q.search_nodes(model, "run absent").count() == 0
 
 
+def test_stored_index(spark, tmp_path):
+    rows = [(1, "the reader on a boat", "on"), (2, "then and there", ""), (3, None, "only"), (4, "Öl on the été", "x"), (5, "", "")]
+    docs = spark.createDataFrame(rows, "id long, doc string, name string")
+    Q.store_index(docs, str(tmp_path), {"doc": 1.0, "name": 10.0})
+    for query in ("the on", "the", "o", "ete", "absent", "x"):
+        want = {r["id"]: round(r["score"], 9) for r in Q.search_documents(docs, query, {"doc": 1.0, "name": 10.0}).collect()}
+        assert {r["id"]: round(r["score"], 9) for r in Q.search_stored(spark, str(tmp_path), query).collect()} == want
+    assert set(want) == {4} and Q.search_documents(docs, "", {"doc": 1.0}).count() == 0
+    plan = Q.search_stored(spark, str(tmp_path), "the")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan
+
+
+def test_digest_counts_repeated_rows(spark):
+    one = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    digest = lambda df: R.bag_digest(df, "k", "v").first()[0]
+    assert digest(one) == digest(one.orderBy(F.desc("k")).repartition(3))
+    assert len({digest(one), digest(one.union(one)), digest(one.union(one).union(one)), digest(one.limit(1)), digest(one.limit(0))}) == 5
+
+
 def test_safe_sql(spark, model):
     model.views()
     assert L.safe_sql(spark, "WITH x AS (SELECT * FROM nodes) SELECT id FROM x", 1000).count() == 6
