@@ -1,17 +1,22 @@
 """BPE encoding and decoding (6): a deterministic automaton compiled from the merges.
 
-The automaton reads token sequences and accepts those that BPE produces. It starts as one
-state that loops on every base symbol. For each merge u v -> uv in order, a gadget is added: where
-a u arc enters a state that has a v arc, the state is split; u arcs now enter a copy without
-the v arc, and each state with a u arc gets a uv arc to where u v led. All arcs with one label
-enter one state, so a state is named by a label and the number of its splits. Copies are
-kept as differences to what they were copied from, which makes the transition table cost one
-entry a merge; rows of it are filled in as words ask for them.
-
-A prefix of an accepted sequence is accepted, so each prefix of a word has one accepted
-sequence, known by its last label. A word is encoded from left to right: the last label of
-the prefix up to j is the one label w that ends there and that the table allows after the last
-label of what w leaves. Decoding emits the labels of the arcs.
+The merge automaton reads token sequences and accepts those that BPE produces. It starts as
+one state that loops on every base symbol. For each merge u v -> uv in order, a gadget is
+added: where a u arc enters a state that has a v arc, the state is split; u arcs now enter a
+copy without the v arc, and each state with a u arc gets a uv arc to where u v led. All arcs
+with one label enter one state, so a state is named by a label and the number of its splits.
+A copy is kept as a default arc to what it was copied from and the one label it lost, so the
+table costs one entry a merge and not one per state and label; a transition follows default
+arcs until an entry decides.
+
+Words are symbols, not tokens, so a second table turns one into the other: the symbol
+sequences of all labels are compiled into a deterministic matcher (transitions on symbols,
+default arcs to the longest shorter suffix, and for each state the labels that end there,
+longest first). A prefix of an accepted sequence is accepted, so each prefix of a word has one
+accepted sequence, known by its last label. A word is encoded in one run from left to right:
+each symbol is a transition of the matcher, and of the labels that end there the merge
+automaton has an arc for exactly one, after the last label of the prefix that it leaves.
+Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -48,22 +53,25 @@ def byte_symbols() -> dict[int, str]:
 
 
 class Automaton:
-    """Transitions between labels (token ids) for one list of merges."""
+    """The merge automaton: transitions between labels (token ids) for one list of merges."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
-        size = max(vocabulary.values()) + 1
+        self.size = size = max(vocabulary.values()) + 1
         self.born = [0] * size  # the merge that made a label; 0 for base symbols
         self.left = [0] * size  # its left part
         self.base: list[tuple[int, int] | None] = [None] * size  # the state its first arcs enter; None is the start
         self.splits: list[list[int]] = [[] for _ in range(size)]  # when its state was split
         self.gone: list[dict[int, int]] = [{} for _ in range(size)]  # label -> number of the split that removed its arc
         self.table: dict[int, bool] = {}
+        products = {a + b for a, b in merges}
+        self.live = {i for t, i in vocabulary.items() if t not in products}  # labels that occur
         for time, (a, b) in enumerate(merges, 1):
             self._gadget(time, vocabulary[a], vocabulary[b], vocabulary[a + b])
 
     def _gadget(self, time: int, u: int, v: int, uv: int) -> None:
-        if not self._has(u, len(self.splits[u]), v):
-            return
+        if not {u, v} <= self.live or not self._has(u, len(self.splits[u]), v):
+            return  # an earlier merge always comes first: this label is never made
+        self.live.add(uv)
         self.born[uv], self.left[uv] = time, u
         self.base[uv] = (v, len(self.splits[v]))
         self.splits[u].append(time)
@@ -87,46 +95,95 @@ class Automaton:
             w = self.left[w]
 
     def allows(self, a: int, b: int) -> bool:
-        key = a << 20 | b
+        """Whether the state that a enters has an arc b."""
+        key = a * self.size + b
         known = self.table.get(key)
         if known is None:
             known = self.table[key] = self._has(a, len(self.splits[a]), b)
         return known
 
 
+class Matcher:
+    """Tables over symbols: which labels end at each place of a word.
+
+    ``step`` holds the transitions (state * symbols + symbol), ``default`` the state of the longest
+    proper suffix, ``label`` and ``depth`` what a state spells (label -1: nothing), ``ends`` the
+    nearest state on the default arcs, itself included, that spells a label, and ``next``
+    the one after it.
+    """
+
+    def __init__(self, spelled: dict[int, tuple[str, ...]]):
+        self.code = {c: i for i, c in enumerate(sorted({c for word in spelled.values() for c in word}))}
+        self.symbols = len(self.code)
+        self.step: dict[int, int] = {}
+        self.label, self.depth = [-1], [0]
+        for label, word in spelled.items():
+            self.label[self._path(word)] = label
+        self._defaults()
+
+    def _path(self, word: tuple[str, ...]) -> int:
+        state = 0
+        for c in word:
+            key = state * self.symbols + self.code[c]
+            if key not in self.step:
+                self.step[key] = len(self.label)
+                self.label.append(-1)
+                self.depth.append(self.depth[state] + 1)
+            state = self.step[key]
+        return state
+
+    def _defaults(self) -> None:
+        n = len(self.label)
+        self.default, self.ends, self.next = [0] * n, [0] * n, [0] * n
+        for key, state in sorted(self.step.items(), key=lambda x: self.depth[x[1]]):
+            above, c = divmod(key, self.symbols)
+            self.default[state] = to = self.read(self.default[above], c) if above else 0
+            self.next[state] = self.ends[to]
+            self.ends[state] = state if self.label[state] >= 0 else self.ends[to]
+
+    def read(self, state: int, c: int) -> int:
+        """The transition of ``state`` on symbol c, by default arcs where it has none of its own."""
+        while (to := self.step.get(state * self.symbols + c)) is None and state:
+            state = self.default[state]
+        return to or 0
+
+
 class WordEncoder:
-    """Encodes words of base symbols with the automaton."""
+    """Encodes words of base symbols with the two tables."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], suffix: str):
         self.automaton = Automaton(vocabulary, merges)
         self.suffix = suffix
-        made = {a + b for a, b in merges}
-        self.inner = {t: i for t, i in vocabulary.items() if (not suffix or not t.endswith(suffix)) and (t in made or len(t) == 1)}
-        self.final = {t[: len(t) - len(suffix)]: i for t, i in vocabulary.items() if t.endswith(suffix) and (t in made or len(t) == 1 + len(suffix))} if suffix else self.inner
-        self.longest = max(map(len, vocabulary))
+        spelled = {t: (t,) for t in vocabulary if len(t) == 1 or suffix and len(t) == 1 + len(suffix) and t.endswith(suffix)}
+        for a, b in merges:
+            spelled[a + b] = spelled[a] + spelled[b]
+        self.matcher = Matcher({vocabulary[t]: w for t, w in spelled.items() if vocabulary[t] in self.automaton.live})
 
     def __call__(self, word: str) -> list[int]:
-        n, table, allows = len(word), self.automaton.table, self.automaton.allows
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        labels, longest = self.inner, self.longest
-        for j in range(1, n + 1):
-            if j == n:
-                labels = self.final
-            for i in range(max(0, j - longest), j):
-                part = word[i:j]
-                if part in labels:
-                    w = labels[part]
-                    if i == 0:
-                        last[j] = w
-                        break
-                    known = table.get(last[i] << 20 | w)
-                    if known or known is None and allows(last[i], w):
-                        last[j], back[j] = w, i
-                        break
-            else:
-                raise ValueError(f"no label for {word[:j]!r}")
-        out = []
+        if not word:
+            return []
+        m, table, allows, size = self.matcher, self.automaton.table, self.automaton.allows, self.automaton.size
+        label, depth, after = m.label, m.depth, m.next
+        symbols = [*word[:-1], word[-1] + self.suffix]
+        last, back, state = [-1], [0], 0
+        for j, symbol in enumerate(symbols, 1):
+            state = m.read(state, m.code[symbol])
+            end = m.ends[state]
+            while end:
+                w, i = label[end], j - depth[end]
+                if i == 0:
+                    break
+                known = table.get(last[i] * size + w) if last[i] >= 0 else False
+                if known or known is None and allows(last[i], w):
+                    break
+                end = after[end]
+            # A prefix that no label ends is inside a symbol's label only; the last one always ends.
+            last.append(label[end] if end else -1)
+            back.append(j - depth[end])
+        out, n = [], len(symbols)
         while n:
+            if last[n] < 0:
+                raise ValueError(f"no label for {word!r}")
             out.append(last[n])
             n = back[n]
         return out[::-1]
@@ -231,8 +288,10 @@ def _digest(path: str):
 def token_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, and digests of the ids and of the decoded text.
 
-    vocabulary: path of the JSON file on the executors, or the name of a public one. Defined cases: a null text counts as
-    empty and has no ids; null ids and repeated rows pass through; other columns are not read.
+    vocabulary: path of the JSON file on the executors, or the name of a public one. Defined
+    cases: a null text counts as empty and has no ids; null ids and repeated rows pass through;
+    texts and words may be of any length; an empty table gives an empty table; other columns are
+    not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_digest(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -260,6 +260,36 @@ def test_bpe_automaton(spark):
     assert got[0] == [] and got[None] == lib.encode("some text here", add_special_tokens=False).ids
 
 
+def brute_bpe(word, ranks):
+    """Merges in order of rank, leftmost first."""
+    parts = list(word)
+    while True:
+        best = min((ranks.get(p, len(ranks)), i) for i, p in enumerate([*zip(parts, parts[1:]), ("", "")]))
+        if best[0] == len(ranks):
+            return parts
+        parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_words_of_random_vocabularies(seed):
+    from tessera.llm.bpe_automaton import WordEncoder
+
+    r = random.Random(seed)
+    tokens, merges = ["a", "b", "c"], []
+    while len(merges) < 25:
+        pair = (r.choice(tokens), r.choice(tokens))
+        if pair[0] + pair[1] not in tokens and len(pair[0] + pair[1]) < 9:
+            merges.append(pair)
+            tokens.append(pair[0] + pair[1])
+    vocabulary = {t: i for i, t in enumerate(tokens)}
+    encode, ranks = WordEncoder(vocabulary, merges, ""), {m: i for i, m in enumerate(merges)}
+    assert encode("") == []
+    for _ in range(400):
+        word = "".join(r.choice("abc") for _ in range(r.randrange(1, 30)))
+        assert [tokens[i] for i in encode(word)] == brute_bpe(word, ranks), word
+    assert len(encode("abc" * 20_000)) > 0
+
+
 def test_exact_dedup(spark):
     values = ["a b", "ab", "a  b ", "", " ", "x", "X"]
     got = {r["doc_id"]: tuple(r)[1:4] for r in exact_groups(table(spark, values)).collect()}
