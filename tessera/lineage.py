@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _own: dict[str, str] = {}
 
@@ -26,3 +28,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}/{label}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def next_in_order(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with a column ``name``: ``value`` of the next row in the order of all rows, null for the last one.
+
+    Rows are dealt by ranges of the order and each range looks at its own rows; what follows a
+    range's last row is the first row of the next range, of which there is one a range.
+    """
+    rows = materialise(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    first = rows.groupBy("__range").agg(F.min(F.struct(*order, value)).alias("__first"))
+    follow = first.select("__range", F.lead(f"__first.{value}").over(Window.orderBy("__range")).alias("__follow"))  # one row a range
+    inside = F.lead(F.struct(value)).over(Window.partitionBy("__range").orderBy(*order))
+    out = rows.withColumn("__inside", inside).join(F.broadcast(follow), "__range")
+    return out.withColumn(name, F.when(F.col("__inside").isNotNull(), F.col(f"__inside.{value}")).otherwise(F.col("__follow"))).drop("__range", "__inside", "__follow")

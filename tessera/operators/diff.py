@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
+from tessera.lineage import next_in_order
 from tessera.model import Model, file_part
 from tessera.operators.rollups import majority
 from tessera.schema import CHANGE_KINDS
@@ -270,8 +271,8 @@ def history_points(log: DataFrame) -> DataFrame:
 
 def consecutive(points: DataFrame) -> DataFrame:
     """Pairs of neighbouring points (base, head), oldest first."""
-    w = Window.orderBy("place")  # points of one branch
-    return points.select(F.lag("sha").over(w).alias("base"), F.col("sha").alias("head"), "place").filter("base is not null")
+    rows = next_in_order(points.select("sha", "place"), ["place"], "sha", "head").filter("head is not null")
+    return rows.select(F.col("sha").alias("base"), "head", "place")
 
 
 def projected_owner(files: DataFrame, today: DataFrame, imports: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -262,48 +261,51 @@ def cycle_edges(model: Model) -> DataFrame:
     return out
 
 
-def _witness(label: dict[str, str]):
-    return lambda n: (label.get(n, n), n)
-
-
-def _shortest_cycle(frame: pd.DataFrame) -> pd.DataFrame:
-    """A shortest cycle through the first member by (label, id); successors in that order."""
-    label = dict(zip(frame["src"], frame["src_name"], strict=True)) | dict(zip(frame["dst"], frame["dst_name"], strict=True))
-    key = _witness(label)
-    after: dict[str, list[str]] = {}
-    for a, b in zip(frame["src"], frame["dst"], strict=True):
-        after.setdefault(a, []).append(b)
-    start = min(label, key=key)
-    came: dict[str, str | None] = {start: None}
-    queue, end = [start], start
-    for node in queue:
-        nexts = sorted(set(after.get(node, [])), key=key)
-        if start in nexts:
-            end = node
-            break
-        for n in nexts:
-            if n not in came:
-                came[n] = node
-                queue.append(n)
-    path: list[str] = []
-    at: str | None = end
-    while at is not None:
-        path.append(at)
-        at = came[at]
-    names = [label[n] for n in [*reversed(path), start]]
-    return pd.DataFrame({"level": [frame["level"].iloc[0]], "scc": [frame["scc"].iloc[0]], "size": [len(label)], "detail": [" → ".join(names)[:DETAIL_CHARS]]})
-
-
 def cycles(model: Model) -> DataFrame:
-    """One row per cycle: level, scc, size and a shortest witness (one task a component)."""
+    """One row per cycle: level, scc, size, length and text of a shortest cycle through its first member by (name, id).
+
+    Of the shortest ones the cycle whose members come first in that order, step by step.
+    """
     edges = materialise(cycle_edges(model), "cycle-edges")
     comps = materialise(components(edges), "components")
     names = model.nodes.select("id", F.coalesce("name", "id").alias("name"))
-    a = comps.withColumnsRenamed({"id": "src"})
-    b = comps.withColumnsRenamed({"id": "dst", "scc": "other"})
-    rows = edges.join(a, ["level", "src"]).join(b, ["level", "dst"]).filter("scc = other").drop("other")
-    rows = rows.join(names.withColumnsRenamed({"id": "src", "name": "src_name"}), "src").join(names.withColumnsRenamed({"id": "dst", "name": "dst_name"}), "dst")
-    return rows.groupBy("level", "scc").applyInPandas(_shortest_cycle, "level string, scc string, size long, detail string")
+    return shortest_cycles(edges, comps, names)
+
+
+def shortest_cycles(edges: DataFrame, comps: DataFrame, names: DataFrame) -> DataFrame:
+    """(level, scc, size, length, detail) of components (level, id, scc) of edges (level, src, dst); names: id, name.
+
+    Distances from the first member and back to it come from breadth-first searches as joins;
+    then all components walk along nodes whose two distances add up, a step a round.
+    """
+    member = comps.join(names, "id").select("level", "scc", F.struct("name", "id").alias("node"), "id")
+    ends = lambda side: comps.select("level", "scc", F.col("id").alias(side))
+    inner = edges.join(ends("src"), ["level", "src"]).join(ends("dst"), ["level", "scc", "dst"])
+    key = F.concat_ws("\0", "level", "scc")
+    inner = materialise(inner.select(key.alias("comp"), "src", "dst").distinct(), "inner")
+    starts = materialise(member.groupBy("level", "scc", key.alias("comp")).agg(F.min("node").alias("start"), F.count(F.lit(1)).alias("size")), "starts")
+    near = lambda to, back: _distances(starts.select("comp", F.col("start.id").alias("id")), inner.select("comp", F.col(to).alias("src"), F.col(back).alias("dst")))
+    out, back = near("src", "dst"), near("dst", "src")
+    # A cycle's length: a step out, and the way back from there.
+    on = inner.join(out.select("comp", F.col("id").alias("src"), F.col("depth").alias("far")), ["comp", "src"]).join(back.select("comp", F.col("id").alias("dst"), F.col("depth").alias("left")), ["comp", "dst"])
+    length = on.filter("far = 0").groupBy("comp").agg((F.min("left") + 1).alias("length"))
+    on = on.join(length, "comp").filter("far + left + 1 = length").join(names.withColumnsRenamed({"id": "dst", "name": "next"}), "dst")
+    on = materialise(on.select("comp", "src", "far", F.struct(F.col("next").alias("name"), F.col("dst").alias("id")).alias("next")), "ways")
+    paths = starts.join(length, "comp").select("*", F.col("start.id").alias("at"), F.array("start.name").alias("path"), F.lit(0).alias("far"))
+    paths, steps = materialise(paths, "paths"), 0
+    while not paths.filter(F.col("length") > steps).isEmpty():
+        step = paths.join(on.withColumnRenamed("src", "at"), ["comp", "at", "far"]).groupBy("comp").agg(F.min("next").alias("next"))
+        grown = paths.join(step, "comp", "left")
+        paths = materialise(grown.withColumns({"at": F.coalesce("next.id", "at"), "path": F.when(F.col("next").isNotNull(), F.concat("path", F.array("next.name"))).otherwise(F.col("path")), "far": F.col("far") + 1}).drop("next"), "paths")
+        steps += 1
+    return paths.select("level", "scc", "size", F.col("length").cast("int").alias("length"), F.substring(F.array_join("path", " → "), 1, DETAIL_CHARS).alias("detail"))
+
+
+def _distances(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(comp, id, depth) from starts (comp, id) over edges (comp, src, dst)."""
+    at = lambda c: F.concat_ws("\0", "comp", c)
+    found = reach(starts.select(F.col("comp").alias("seed"), at("id").alias("id")), edges.select(at("src").alias("src"), at("dst").alias("dst")))
+    return found.select(F.col("seed").alias("comp"), F.element_at(F.split("id", "\0"), -1).alias("id"), "depth")
 
 
 def cycle_diagnostics(found: DataFrame, comps: DataFrame) -> DataFrame:

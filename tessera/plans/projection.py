@@ -1,7 +1,8 @@
 """A model made of the supplied tables, so that operators run on data of any scale.
 
-Parts are files (brand is the package, brand and type the folder, type the concept); large lines
-of an order import one another in order; lines are symbols; events are calls and coverage.
+Parts are files (brand is the package, brand and type the folder, type the concept). Every line
+of an order is an edge to the next one: large lines import, others mention. Lines are symbols;
+every event is a step to the next user: errors are calls, others references. Events are coverage.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.lineage import next_in_order
 from tessera.model import Model
 
 
@@ -32,12 +34,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between the parts of consecutive lines of an order: imports from lines of 45 and more, else mentions."""
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select("l_partkey", F.lead("l_partkey").over(by).alias("next"))
-    rows = rows.filter("next is not null and next <> l_partkey").groupBy("l_partkey", "next").agg(F.count(F.lit(1)).cast("int").alias("weight"))
+    kind = F.when(F.col("l_quantity") >= 45, "imports").otherwise("mentions").alias("kind")
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", kind, F.lead("l_partkey").over(by).alias("next"))
+    rows = rows.filter("next is not null and next <> l_partkey").groupBy("l_partkey", "next", "kind").agg(F.count(F.lit(1)).cast("int").alias("weight"))
     at = lambda c: F.concat(F.lit("w:"), F.col(c).cast("string"))
-    return rows.select(at("l_partkey").alias("src"), at("next").alias("dst"), F.lit("imports").alias("kind"), "weight")
+    return rows.select(at("l_partkey").alias("src"), at("next").alias("dst"), "kind", "weight")
+
+
+def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return steps(spark, sf_dir).filter("kind = 'imports'")
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,10 +54,15 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.concat(part, F.lit("#"), local).alias("id"), part.alias("parent_id"), F.lit("symbol").alias("kind"), F.lit("function").alias("display_kind"), local.alias("name"), F.lit("w").alias("workspace_id"))
 
 
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps from each event's user to the next one's, in order of time: (src, dst, kind) as user ids."""
+    rows = next_in_order(table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type"), ["ts", "event_id"], "user_id", "next")
+    kind = F.when(F.col("event_type") == "error", "calls").otherwise("references")
+    return rows.filter("next is not null and next <> user_id").select(F.col("user_id").alias("src"), F.col("next").alias("dst"), kind.alias("kind")).distinct()
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transitions between users at error events, in order of time: (src, dst) as user ids."""
-    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.lead("user_id").over(Window.orderBy("ts", "event_id")).alias("next"))
-    return rows.filter("event_type = 'error' and next is not null and next <> user_id").select(F.col("user_id").alias("src"), F.col("next").alias("dst")).distinct()
+    return transitions(spark, sf_dir).filter("kind = 'calls'").select("src", "dst")
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,5 +82,5 @@ def model(spark: SparkSession, sf_dir: str) -> Model:
     owns = f.select(F.concat(F.lit("concept:"), "concept").alias("src"), F.col("id").alias("dst"), F.lit("owns").alias("kind"))
     test = f.filter("attrs like '%test%'").select(F.col("id").alias("src"))
     tests = imports(spark, sf_dir).join(test, "src", "left_semi").select("src", "dst", F.lit("tests").alias("kind"))
-    edges = imports(spark, sf_dir).unionByName(part_of, allowMissingColumns=True).unionByName(owns, allowMissingColumns=True).unionByName(tests, allowMissingColumns=True)
+    edges = steps(spark, sf_dir).unionByName(part_of, allowMissingColumns=True).unionByName(owns, allowMissingColumns=True).unionByName(tests, allowMissingColumns=True)
     return Model.of(spark, nodes=nodes, edges=edges, coverage_lines=coverage(spark, sf_dir))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
+from tessera.model import Model
 from tessera.operators import diff, graph, http, lookups, rollups, search
 from tessera.plans import projection as P
 from tessera.plans.projection import table
@@ -35,11 +36,10 @@ G_FILE = """g_file AS (
            p_brand || '/' || p_type || '/' || p_partkey::VARCHAR AS path,
            CASE WHEN p_size % 5 = 0 THEN 'test' ELSE 'code' END AS role, p_size AS loc FROM part)"""
 G_IMPORT = """g_lead AS (
-    SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nx
-    FROM lineitem WHERE l_quantity >= 45
+    SELECT l_partkey, l_quantity, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nx FROM lineitem
 ), g_import AS (
     SELECT 'w:' || l_partkey::VARCHAR AS src, 'w:' || nx::VARCHAR AS dst, count(*)::INTEGER AS weight FROM g_lead
-    WHERE nx IS NOT NULL AND nx <> l_partkey GROUP BY l_partkey, nx)"""
+    WHERE l_quantity >= 45 AND nx IS NOT NULL AND nx <> l_partkey GROUP BY l_partkey, nx)"""
 G_PROD = """g_prod AS (
     SELECT i.src, i.dst, a.package AS sp, b.package AS dp, a.folder AS sf, b.folder AS df FROM g_import i
     JOIN g_file a ON a.id = i.src JOIN g_file b ON b.id = i.dst WHERE a.role = 'code' AND b.role = 'code')"""
@@ -124,10 +124,10 @@ def orphans_untested(spark, sf_dir):
     return graph.untested(P.model(spark, sf_dir), "folder")
 
 
-@query(f"""WITH RECURSIVE {G_IMPORT}, seeds AS (SELECT 'w:' || p_partkey::VARCHAR AS id FROM part WHERE p_partkey % 100 = 0),
+@query(f"""WITH RECURSIVE {G_IMPORT}, seeds AS (SELECT 'w:' || p_partkey::VARCHAR AS id FROM part WHERE p_size = 1),
     r AS (SELECT id FROM seeds UNION SELECT i.dst FROM r JOIN g_import i ON i.src = r.id) SELECT id FROM r""")
 def reachability(spark, sf_dir):
-    seeds = table(spark, sf_dir, "part").filter("p_partkey % 100 = 0").select(F.lit("all").alias("seed"), F.concat(F.lit("w:"), F.col("p_partkey").cast("string")).alias("id"))
+    seeds = table(spark, sf_dir, "part").filter("p_size = 1").select(F.lit("all").alias("seed"), F.concat(F.lit("w:"), F.col("p_partkey").cast("string")).alias("id"))
     return graph.reach(seeds, P.imports(spark, sf_dir)).select("id")
 
 
@@ -139,10 +139,13 @@ def cycles_scc(spark, sf_dir):
 
 
 @query(f"""{BASE}, e AS (SELECT DISTINCT src, dst FROM g_prod), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
-    c AS (SELECT a.src AS id, min(a.dst) AS scc FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
-    SELECT scc, count(*) AS size FROM c GROUP BY scc""")
+    c AS (SELECT a.src AS id, min(a.dst) AS scc FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+    st AS (SELECT scc, count(*) AS size, arg_min(c.id, (f.name, c.id)) AS start FROM c JOIN g_file f ON f.id = c.id GROUP BY scc),
+    w AS (SELECT st.scc, e.dst AS id, 1 AS depth FROM st JOIN e ON e.src = st.start JOIN c ON c.id = e.dst AND c.scc = st.scc
+          UNION SELECT w.scc, e.dst, w.depth + 1 FROM w JOIN st ON st.scc = w.scc AND w.id <> st.start JOIN e ON e.src = w.id JOIN c ON c.id = e.dst AND c.scc = w.scc WHERE w.depth < 40)
+    SELECT st.scc, any_value(size) AS size, min(w.depth)::INTEGER AS length FROM st JOIN w ON w.scc = st.scc AND w.id = st.start GROUP BY st.scc""")
 def cycle_summary(spark, sf_dir):
-    return graph.cycles(P.model(spark, sf_dir)).filter("level = 'file'").select("scc", "size")
+    return graph.cycles(P.model(spark, sf_dir)).filter("level = 'file'").select("scc", "size", "length")
 
 
 @query(f"""WITH RECURSIVE {G_CALL}, r AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT g.dst, r.depth + 1 FROM r JOIN g_call g ON g.src = r.id WHERE r.depth < 4)
@@ -204,11 +207,11 @@ def status_counts(spark, sf_dir):
     return lookups.status(P.model(spark, sf_dir))["nodes"].filter("display_kind is not null")
 
 
-@query("""WITH r AS (SELECT event_type AS kind, event_id, row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS place FROM events) SELECT kind, event_id, place FROM r WHERE place <= 3""")
+@query("""WITH r AS (SELECT event_type AS kind, user_id::VARCHAR AS node_id, event_id::VARCHAR AS detail FROM events),
+    p AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY node_id, detail) AS place FROM r) SELECT kind, node_id, detail, place::INTEGER AS place FROM p WHERE place <= 3""")
 def diagnostics_examples(spark, sf_dir):
-    order = Window.partitionBy("event_type").orderBy("user_id", "event_id")
-    rows = table(spark, sf_dir, "events").withColumn("place", F.row_number().over(order).cast("long")).filter("place <= 3")
-    return rows.select(F.col("event_type").alias("kind"), "event_id", "place")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("node_id"), F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("detail"))
+    return lookups.diagnostic_examples(Model.of(spark, diagnostics=rows)).select("kind", "node_id", "detail", "place")
 
 
 @query(f"""WITH {G_FILE}, {G_IMPORT}, hub AS (SELECT dst AS id FROM g_import GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)
@@ -296,16 +299,6 @@ def move_pairs(spark, sf_dir):
     return diff.move_pairs(_half(spark, sf_dir, 0), _half(spark, sf_dir, 1))
 
 
-@query("""WITH a AS (SELECT doc_id AS id, md5(text) AS h, source FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS id, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h, source FROM documents WHERE doc_id % 3 <> 1)
-    SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.id = b.id""")
-def symbol_changes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    base = d.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("h"), "source")
-    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    head = d.filter("doc_id % 3 <> 1").select(F.col("doc_id").alias("id"), F.md5(text.cast("binary")).alias("h"), "source")
-    return diff.sides(base, head, ["id"], ["h", "source"]).select("id", "state")
-
-
 @query("""WITH a AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'), b AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01')
     SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'both' END AS state FROM a FULL JOIN b ON a.id = b.id""")
 def node_set_diff(spark, sf_dir):
@@ -403,10 +396,15 @@ def safe_sql(spark, sf_dir):
     return lookups.safe_sql(spark, "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity FROM tessera_lineitem GROUP BY 1, 2", limit=500)
 
 
-@query("""WITH p AS (SELECT o_orderkey AS sha, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'P') SELECT lag(sha) OVER (ORDER BY place) AS base, sha AS head FROM p QUALIFY base IS NOT NULL""")
+@query("""WITH l AS (SELECT o_orderkey AS sha, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place, o_orderstatus = 'P' AS merge, o_orderpriority = '1-URGENT' AS numbered FROM orders),
+    p AS (SELECT sha, place FROM l WHERE merge OR numbered OR place < coalesce((SELECT min(place) FROM l WHERE merge), place + 1))
+    SELECT lag(sha) OVER (ORDER BY place) AS base, sha AS head FROM p QUALIFY base IS NOT NULL""")
 def history_points(spark, sf_dir):
-    points = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("sha"), F.struct("o_orderdate", "o_orderkey").alias("place"))
-    return diff.consecutive(points).select("base", "head")
+    """Orders as commits of one branch: partly shipped ones are merges, urgent ones squashed pull requests."""
+    parents = F.array_repeat(F.lit("x"), F.when(F.col("o_orderstatus") == "P", 2).otherwise(1))
+    subject = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("Change (#"), F.col("o_orderkey").cast("string"), F.lit(")"))).otherwise("Change")
+    log = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.struct("o_orderdate", "o_orderkey").alias("place"), parents.alias("parents"), subject.alias("subject"))
+    return diff.consecutive(diff.history_points(log)).select("base", "head")
 
 
 @query("""SELECT o_orderkey AS sha FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100""")
@@ -417,8 +415,6 @@ def history_select(spark, sf_dir):
 
 @query("""WITH s AS (SELECT l_partkey AS id, bool_and(l_orderkey % 10 <> 0) AS only_tests, count(*) AS callers FROM lineitem GROUP BY 1) SELECT 'c#' || id::VARCHAR AS id, callers FROM s WHERE only_tests""")
 def test_only_symbols(spark, sf_dir):
-    from tessera.model import Model
-
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     caller = F.when(F.col("l_orderkey") % 10 != 0, "t#f").otherwise("c#f")
     calls = l.select(caller.alias("src"), F.concat(F.lit("c#"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("calls").alias("kind"))
@@ -435,16 +431,14 @@ def orphans_unreachable(spark, sf_dir):
     return graph.unreachable(m.with_(nodes=m.nodes.withColumn("attrs", entry)))
 
 
-@query("""WITH t AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 7 = 0), n AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 500 = 0)
+@query("""WITH t AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), n AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal >= 9950)
     SELECT c_custkey AS id FROM customer WHERE c_custkey IN (SELECT k FROM t) OR c_nationkey IN (SELECT k FROM n)""")
 def parent_chain_tested(spark, sf_dir):
-    from tessera.model import Model
-
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     symbols = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent_id"), F.lit("symbol").alias("kind"))
     tops = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent_id"), F.lit("file").alias("kind"))
-    a = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' and o_custkey % 7 = 0").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst"))
-    b = c.filter("c_custkey % 500 = 0").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("dst"))
+    a = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst"))
+    b = c.filter("c_acctbal >= 9950").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("dst"))
     tests = a.union(b).distinct().select(F.lit("t").alias("src"), "dst", F.lit("tests").alias("kind"))
     out = graph.parent_chain_tested(Model.of(spark, nodes=symbols.union(tops), edges=tests))
     return out.select(F.expr("substring(id, 2)").cast("long").alias("id"))
@@ -491,14 +485,14 @@ def table_uses(spark, sf_dir):
     return use_tables(uses, tables).select("src", "kind", "dst", "weight")
 
 
-@query("""SELECT DISTINCT l_orderkey AS src, 's#' || l_partkey::VARCHAR AS dst, 0.8::DOUBLE AS confidence FROM lineitem WHERE l_quantity >= 48 AND l_partkey % 2 = 0""")
+@query("""SELECT DISTINCT l_orderkey AS src, 's#' || l_partkey::VARCHAR AS dst, 0.8::DOUBLE AS confidence FROM lineitem WHERE l_partkey % 2 = 0""")
 def mentions(spark, sf_dir):
     from tessera.operators.binding import mentions as link
 
     name = lambda c: F.when(F.col(c) % 2 == 0, F.concat(F.lit("S"), F.col(c).cast("string"))).otherwise("S1")  # noqa: E731  odd ones share a name, which then means nothing
     p = table(spark, sf_dir, "part")
     nodes = p.select(F.concat(F.lit("s#"), F.col("p_partkey").cast("string")).alias("id"), F.lit("symbol").alias("kind"), name("p_partkey").alias("name"), F.lit(None).cast("string").alias("path"))
-    said = table(spark, sf_dir, "lineitem").filter("l_quantity >= 48").select(F.col("l_orderkey").cast("string").alias("src"), name("l_partkey").alias("text"))
+    said = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("src"), name("l_partkey").alias("text"))
     return link(said, nodes).select(F.col("src").cast("long").alias("src"), "dst", "confidence")
 
 
