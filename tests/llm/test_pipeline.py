@@ -35,3 +35,28 @@ def test_stages(spark, tmp_path):
         assert r["doc_tokens"] >= r["length"]
     assert sorted(tokens) == sorted(left)
     assert P.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    long = " ".join(f"word{i % 1013}" for i in range(25_000))
+    rows = [
+        (None, None, None, None, None, 1, "a", 7), (None, "a text of some words", "en", None, 20, None, "b", 7), (1, "", "en", "s", 0, 2, None, 7), (2, "twice told tale of words", "en", "s", 24, 3, "c", 7),
+        (2, "twice told tale of words", "en", "s", 24, 3, "c", 7), (2, "another text", "en", "s", None, 4, "d", 7), (3, long, "en", "t", 1, 5, "e", 7), (4, long + " end", "en", "t", 1, 6, "f", 7),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, content string, row long")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(P.STAGES)
+    count = lambda name, df: collections.Counter((r["doc_id"], (r["text"] or "")[:20]) for r in stages[name](spark, df, str(tmp_path)).collect())
+    every = collections.Counter((r[0], (r[1] or "")[:20]) for r in rows)
+    assert count("quality", docs) in (every, collections.Counter())  # without labels one score decides
+    once = collections.Counter(set(every)) - collections.Counter([(None, "")])  # the empty texts are one, an id before none
+    assert count("exact_dedup", docs) == once
+    kept = collections.Counter(set(every)) - collections.Counter([(4, long[:20])])
+    assert count("near_dedup", docs) == kept
+    left = stages["substring_dedup"](spark, docs, str(tmp_path)).collect()
+    assert len(left) == len(rows) and all(list(r.asDict()) == P.COLUMNS for r in left)
+    assert [r["text"] for r in left if r["doc_id"] == 3 and r["text"]] and [len(r["text"]) < 200 for r in left if r["doc_id"] == 4] == [True]
+    pieces = stages["packing"](spark, docs, str(tmp_path)).collect()
+    assert sum(r["start"] == 0 for r in pieces) == len(rows)
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
