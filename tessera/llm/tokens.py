@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from functools import cache
@@ -15,6 +16,9 @@ CACHE_PIECES = 600_000
 #: A space that follows other white space, and the places where a text with one may be cut.
 _RUN = re.compile(r"\s ")
 _CUT = re.compile(r"(?= (?!\s|<\|))")
+#: Pieces of these characters are the same words and classes for both libraries' tables.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u024f]*")
+_SPECIAL = "<|endoftext|>"
 
 
 class PieceEncoder:
@@ -24,11 +28,14 @@ class PieceEncoder:
     white space it gives a last space to the word that follows. So a text may be cut before
     each space that a non-space follows (not before one that may begin a special string, as
     these are cut out first, and a run before them keeps its last space) and each piece
-    encoded alone. Pieces repeat, so most are looked up.
+    encoded alone. Pieces repeat, so most are looked up. Of the others plain ones, of any
+    length, go to tiktoken with the ranks of the same merges and the pattern of the same
+    pre-tokenizer; those with other scripts or special strings go to the tokenizers library.
     """
 
     def __init__(self, name: str = "byte_bpe_50k"):
         import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -37,8 +44,18 @@ class PieceEncoder:
         self.library.no_truncation()
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError(f"{name} has more ids than 16 bits hold")
+        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
+    def piece(self, piece: str) -> bytes:
+        if _PLAIN.fullmatch(piece) and _SPECIAL not in piece:
+            ids = self.plain.encode_ordinary(piece)
+        else:
+            ids = self.library.encode(piece, add_special_tokens=False).ids
+        return np.array(ids, "<u2").tobytes()
+
     def __call__(self, text: str) -> bytes:
         if _RUN.search(text):
             pieces = _CUT.split(text)
@@ -49,12 +66,15 @@ class PieceEncoder:
         try:
             return b"".join([known[p] for p in pieces])
         except KeyError:
-            fresh = list({p for p in pieces if p not in known})
-            found = {p: np.array(e.ids, "<u2").tobytes() for p, e in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False), strict=True)}
-            out = b"".join([known[p] if p in known else found[p] for p in pieces])
-            if len(known) < CACHE_PIECES:
-                known.update((p, x) for p, x in found.items() if len(p) < 64)
-            return out
+            out = []
+            for p in pieces:
+                ids = known.get(p)
+                if ids is None:
+                    ids = self.piece(p)
+                    if len(known) < CACHE_PIECES and len(p) < 64:
+                        known[p] = ids
+                out.append(ids)
+            return b"".join(out)
 
 
 @cache
