@@ -150,6 +150,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """
     tokens = encode_documents(docs, id_col, text_col, source_col, vocabulary)
     where = plan(tokens, weights, window_tokens, segment_docs)
-    rows = tokens.select("row", "doc_id", "n_tokens", "ids").join(where, "row").select("doc_id", "n_tokens", "ids", "window", "at")
+    # One plan at every size: a small ``where`` would be broadcast.
+    rows = tokens.select("row", "doc_id", "n_tokens", "ids").join(where.hint("merge"), "row").select("doc_id", "n_tokens", "ids", "window", "at")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long" + (", ids binary" if with_ids else "")
     return rows.mapInArrow(_cut(length, with_ids), schema)
