@@ -68,7 +68,8 @@ def _endings(stem: Column) -> Column:
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(src, spec, dst): the file that each specifier means.
 
-    imports: src, path, spec; files: id, path; aliases: prefix, target (longest prefix wins).
+    imports: src, path, spec; files: id, path; aliases: root, prefix, target (of those whose
+    root is above the importer the longest prefix wins, then the deepest root).
     Relative ones start at the importer's directory; bare ones go through aliases; dotted
     Python modules are tried from every directory above the importer. Distinct pairs of
     directory and specifier are resolved once.
@@ -86,8 +87,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     b = python.select("dir", "spec", F.posexplode(stems).alias("place", "path")).withColumn("place", F.col("place") + 1000)
     out = a.unionByName(b)
     if aliases is not None:
-        longest = Window.partitionBy("dir", "spec").orderBy(F.desc(F.length("prefix")))
-        hit = asked.filter(~relative).join(aliases, F.col("spec").startswith(F.col("prefix"))).withColumn("n", F.row_number().over(longest)).filter("n = 1")
+        # Every beginning of a specifier, so that prefixes meet by equality.
+        begins = F.transform(F.sequence(F.lit(0), F.length("spec")), lambda k: F.substring("spec", 1, k))
+        hit = asked.filter(~relative).withColumn("prefix", F.explode(begins)).join(aliases, "prefix")
+        hit = hit.filter((F.col("root") == "") | (F.col("dir") == F.col("root")) | F.col("dir").startswith(F.concat("root", F.lit("/"))))
+        hit = hit.groupBy("dir", "spec").agg(F.max(F.struct(F.length("prefix").alias("n"), F.length("root").alias("r"), "prefix", "target")).alias("best"))
+        hit = hit.select("dir", "spec", "best.prefix", "best.target")
         stem = normalise_path(F.concat("target", F.expr("substring(spec, length(prefix) + 1)")))
         out = out.unionByName(hit.select("dir", "spec", F.posexplode(_endings(stem)).alias("place", "path")).withColumn("place", F.col("place") + 500))
     known = out.join(files.select(F.col("id").alias("dst"), "path"), "path").groupBy("dir", "spec").agg(F.min(F.struct("place", "dst")).alias("best"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import wiring as W
 from tessera.functions import scalars as S
 from tessera.lineage import materialise
 from tessera.model import Model, file_part
@@ -30,7 +31,8 @@ def scan(files: DataFrame, model_id: str = "worktree") -> Model:
     """A model of files (workspace_id, path, content).
 
     Python, JavaScript, TypeScript, Vue and C# are parsed; facts of other languages can be
-    joined in with ``binding``. All texts are read once; what is parsed is written once, and every edge family is a join of it.
+    joined in with ``binding``. All texts are read once; what is parsed is written once, and every edge family is a join of it
+    (``wiring`` has those of re-exports, injection, fixtures, patches, launches, client routes and rendering).
     """
     spark = files.sparkSession
     first = F.substring_index(F.decode(F.substring("content", 1, 200), "utf-8"), "\n", 1)
@@ -57,22 +59,44 @@ def scan(files: DataFrame, model_id: str = "worktree") -> Model:
 
     # imports and calls
     said = facts("import").join(place.select("file", "path"), "file")
-    asked = said.select(F.col("file").alias("src"), "path", F.col("name").alias("spec")).distinct()
+    again = facts("reexport").join(place.select("file", "path"), "file")
+    asked = said.unionByName(again).select(F.col("file").alias("src"), "path", F.col("name").alias("spec")).distinct()
     deep = said.filter("extra is not null").select(F.col("file").alias("src"), "path", F.concat("name", F.when(F.col("name").rlike(r"\.$"), "").otherwise("."), "extra").alias("spec"), F.col("name").alias("of"), "value", "extra")
     targets = base.select("id", "path")
-    found = materialise(B.resolve_imports(asked.union(deep.select("src", "path", "spec")).distinct(), targets), "imports")
+    found = materialise(B.resolve_imports(asked.union(deep.select("src", "path", "spec")).distinct(), targets, W.aliases(base)), "imports")
+    defined = materialise(W.named_imports(deep, found, W.reexports(again, found), symbols), "defined")
     module = deep.join(found, ["src", "spec"]).select("src", F.col("of").alias("spec"), F.col("dst").alias("target"))
+    module = module.union(defined.filter("target <> dst").select("src", "of", "target")).distinct()
     direct = found.join(asked.select("src", "spec"), ["src", "spec"], "left_semi").withColumn("type_only", F.lit(False))
     passed = module.select("src", "spec", F.col("target").alias("dst")).distinct().join(direct.select("src", "spec"), ["src", "spec"], "left_anti").withColumn("type_only", F.lit(False))
     imports = B.import_edges(direct.unionByName(passed), module)
-    top = symbols.filter("parent is null").select(F.col("file").alias("target"), F.col("name").alias("extra"), "id", "display_kind")
-    names = deep.join(found.select("src", F.col("spec").alias("of"), F.col("dst").alias("target")), ["src", "of"]).join(top, ["target", "extra"]).select(F.col("src").alias("scope"), F.col("value").alias("name"), "id", "display_kind")
+    top = symbols.filter("parent is null").select(F.col("file").alias("target"), F.col("name").alias("local"), "id", "display_kind")
+    names = defined.join(top, ["target", "local"]).select(F.col("src").alias("scope"), F.col("value").alias("name"), "id", "display_kind")
     local = symbols.filter("parent is null").select(F.col("file").alias("scope"), "name", "id", "display_kind")
+    scope = local.unionByName(names).distinct()
     own = symbols.filter("parent is not null").select(F.concat("file", F.lit("#"), "parent").alias("scope"), "name", "id", "display_kind")
     used = facts("call").withColumn("shape", F.col("extra"))
     cls = F.concat("file", F.lit("#"), F.substring_index("src", ".", 1))
     calls, ambiguous = B.bind_calls(used.filter("shape <> 'member'").select(F.col("owner").alias("src"), "shape", F.when(F.col("shape") == "this", cls).otherwise(F.col("file")).alias("scope"), "name"), local.unionByName(names).unionByName(own).distinct())
-    calls = calls.filter("src <> dst")
+    built = facts("construct").select(F.col("owner").alias("src"), F.lit("name").alias("shape"), F.col("file").alias("scope"), "name")
+    calls = calls.filter("src <> dst").unionByName(B.bind_calls(built, scope)[0].filter("src <> dst"))
+    calls = calls.unionByName(W.injected_calls(used, facts("field"), symbols, scope), allowMissingColumns=True).unionByName(W.render_edges(facts("render"), scope), allowMissingColumns=True)
+    calls = materialise(W.merged(calls), "calls")
+    sharp = W.csharp_edges(facts, symbols, place).join(imports.filter("kind = 'imports'").select("src", "dst"), ["src", "dst"], "left_anti")
+    imports = imports.unionByName(sharp, allowMissingColumns=True)
+
+    # HTTP
+    routers = facts("router").select(F.concat("file", F.lit("#"), "name").alias("router"), F.coalesce("value", F.lit("")).alias("prefix"))
+    mounts = facts("mount").join(deep.select(F.col("src").alias("file"), F.col("value").alias("child_name"), "of").join(found.select(F.col("src").alias("file"), F.col("spec").alias("of"), F.col("dst").alias("child_file")), ["file", "of"]), ["file"], "left").filter(F.col("child_name").isNull() | (F.substring_index("name", ".", 1) == F.col("child_name")))
+    mounts = mounts.select(F.concat("file", F.lit("#"), "extra").alias("parent"), F.concat(F.coalesce("child_file", "file"), F.lit("#"), F.substring_index("name", ".", -1)).alias("child"), F.col("value").alias("extra")).distinct()
+    side = F.split(F.coalesce("extra", F.lit("")), r"\|")  # of a decorator the router; of a call router|handler
+    given = F.when(F.size(side) > 1, side[1]).when(F.col("src") == "", side[0]).otherwise(F.col("src"))
+    handler = F.when(given == "", F.col("owner")).otherwise(F.concat("file", F.lit("#"), given))
+    routes = facts("route").select(handler.alias("handler"), F.col("name").alias("method"), F.col("value").alias("path"), F.concat("file", F.lit("#"), side[0]).alias("router"))
+    full = materialise(H.full_routes(routes, H.expand_mounts(routers, mounts)).unionByName(W.file_routes(place, symbols)).distinct(), "routes")
+    wanted = facts("client").select(F.col("owner").alias("caller"), F.col("name").alias("method"), F.col("value").alias("path"))
+    matched = materialise(H.match_calls(wanted, full), "http")
+    web = matched.select(F.col("caller").alias("src"), F.col("handler").alias("dst"), F.lit("http_calls").alias("kind"), "confidence", "weight", F.to_json(F.struct("method", F.col("route").alias("path"))).alias("attrs"))
 
     # tests
     tests = symbols.filter("kind = 'test'").select("id", "file")
@@ -85,20 +109,14 @@ def scan(files: DataFrame, model_id: str = "worktree") -> Model:
     by_name = test_files.withColumn("stem", stem(F.col("path"))).join(one, "stem").select("src", "dst", F.lit("naming").alias("how"))
     reads = B.read_targets(facts("read").join(place.filter("role = 'test'"), "file").select(F.col("owner").alias("src"), "path", F.col("name").alias("value")), targets).select("src", "dst", F.lit("read").alias("how"))
     exempt = F.col("path").rlike(r"(^|/)conftest\.py$")
-    linked, lonely = B.link_tests(by_call.unionByName(by_import).unionByName(by_name).unionByName(reads).distinct(), base.filter("role = 'test'").select("id", F.col("id").alias("file"), exempt.alias("exempt")))
-
-    # HTTP, environment, tables, documents, manifests
-    routers = facts("router").select(F.concat("file", F.lit("#"), "name").alias("router"), F.coalesce("value", F.lit("")).alias("prefix"))
-    mounts = facts("mount").join(deep.select(F.col("src").alias("file"), F.col("value").alias("child_name"), "of").join(found.select(F.col("src").alias("file"), F.col("spec").alias("of"), F.col("dst").alias("child_file")), ["file", "of"]), ["file"], "left").filter(F.col("child_name").isNull() | (F.substring_index("name", ".", 1) == F.col("child_name")))
-    mounts = mounts.select(F.concat("file", F.lit("#"), "extra").alias("parent"), F.concat(F.coalesce("child_file", "file"), F.lit("#"), F.substring_index("name", ".", -1)).alias("child"), F.col("value").alias("extra")).distinct()
-    side = F.split(F.coalesce("extra", F.lit("")), r"\|")  # of a decorator the router; of a call router|handler
-    given = F.when(F.size(side) > 1, side[1]).when(F.col("src") == "", side[0]).otherwise(F.col("src"))
-    handler = F.when(given == "", F.col("owner")).otherwise(F.concat("file", F.lit("#"), given))
-    routes = facts("route").select(handler.alias("handler"), F.col("name").alias("method"), F.col("value").alias("path"), F.concat("file", F.lit("#"), side[0]).alias("router"))
-    full = materialise(H.full_routes(routes, H.expand_mounts(routers, mounts)), "routes")
-    wanted = facts("client").select(F.col("owner").alias("caller"), F.col("name").alias("method"), F.col("value").alias("path"))
-    matched = materialise(H.match_calls(wanted, full), "http")
-    web = matched.select(F.col("caller").alias("src"), F.col("handler").alias("dst"), F.lit("http_calls").alias("kind"), "confidence", "weight", F.to_json(F.struct("method", F.col("route").alias("path"))).alias("attrs"))
+    more_links = W.fixture_links(facts("fixture"), symbols, place, calls, code)
+    in_test = lambda kind: facts(kind).join(place.filter("role = 'test'").select("file"), "file", "left_semi")
+    for part in (W.patch_links(in_test("patch"), place, symbols, targets), W.launch_links(facts("launch"), place, targets), W.visit_links(in_test("visit"), facts("client-route"), scope, place)):
+        more_links = more_links.unionByName(part)
+    by_client = web.join(tests.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", F.lit("client").alias("how"))
+    linked, lonely = B.link_tests(by_call.unionByName(by_import).unionByName(by_name).unionByName(reads).unionByName(more_links).unionByName(by_client).distinct(), base.filter("role = 'test'").select("id", F.col("id").alias("file"), exempt.alias("exempt")))
+
+    # environment, tables, documents, manifests
     shown_routes = full.groupBy(F.col("handler").alias("id")).agg(F.to_json(F.array_sort(F.collect_set(F.struct("method", "path")))).alias("routes"))
     reads_env = facts("env").select(F.col("owner").alias("src"), "name", F.col("value").alias("default"), F.col("line").alias("place"))
     env_nodes, env_edges, passthrough = B.read_env(reads_env, M.dotenv(base).select("name"))
@@ -128,7 +146,8 @@ def scan(files: DataFrame, model_id: str = "worktree") -> Model:
         diagnostics = diagnostics.unionByName(part)
     state = base.select("path", F.lit(0).alias("mtime_ns"), F.octet_length("text").alias("size"), "content_hash", F.lit(P.VERSION).alias("parser_version"))
     edges = edges.withColumns({"confidence": F.coalesce("confidence", F.lit(1.0)), "weight": F.coalesce("weight", F.lit(1)), "source": F.coalesce("source", F.lit("treesitter"))})
-    return Model.of(spark, model_id, nodes=all_nodes, edges=edges, diagnostics=diagnostics, file_state=state)
+    tables = {"nodes": all_nodes, "edges": edges, "diagnostics": diagnostics}
+    return Model.of(spark, model_id, **{k: materialise(v, k) for k, v in tables.items()}, file_state=state)
 
 
 def ingest(model: Model, lines: DataFrame, results: DataFrame | None = None) -> Model:

@@ -35,7 +35,7 @@ def test_scan(spark):
     found = {(r["node_id"], r["kind"]) for r in m.diagnostics.collect()}
     assert ("w:bad.py", "parse_error") in found and ("w:tests/test_none.py", "unmatched_test") in found
     ids = [r["id"] for r in m.nodes.select("id").collect()]
-    assert len(ids) == len(set(ids)) and {"env:OTHER", "table:users", "table:users.a", "w:app/", "w:app/api.py#users"} <= set(ids)
+    assert len(ids) == len(set(ids)) and {"env:OTHER", "table:users", "table:users#a", "w:app/", "w:app/api.py#users"} <= set(ids)
     assert "/v1/users/{id}" in lookups.resolve(m, "w:app/api.py#users").first()["attrs"]
     assert graph.top_hotspots(m, "fan_in", limit=1).first()["id"] == "w:app/store.py"
     lines = spark.createDataFrame([("cov", "app/store.py", 5, 1, "tests/test_store.py::test_load"), ("cov", "app/store.py", 8, 0, None), ("cov", "gone.py", 1, 1, None)], "artifact string, path string, line int, hits int, context string")
@@ -44,3 +44,41 @@ def test_scan(spark):
     assert rollups.coverage(more.coverage_lines).first()["percent"] == 50.0
     assert [(r["test_node_id"], r["status"]) for r in more.results.collect()] == [("w:tests/test_store.py#test_load", "passed")]
     assert ("w:tests/test_store.py#test_load", "w:app/store.py#Store.load") in {(r["src"], r["dst"]) for r in more.edges.filter("source = 'coverage'").collect()}
+
+
+WIRED = {
+    "lib/tsconfig.json": '{\n  // aliases\n  "compilerOptions": {"baseUrl": ".", "paths": {"@core/*": ["core/*"]}},\n}\n',
+    "lib/core/a.ts": "export function make() { return 1; }\nexport function other() { return 2; }\n",
+    "lib/core/barrel.ts": "export { make as build } from './a';\nexport * from './deep';\n",
+    "lib/core/deep.ts": "export { other } from './a';\n",
+    "lib/use.ts": "import { build, other } from '@core/barrel';\nimport { make } from 'core/a';\nexport function go() { return build() + other() + make(); }\n",
+    "lib/app/api/items/[id]/route.ts": "export async function GET() { return 1; }\n",
+    "lib/page.tsx": "import { Card } from './card';\nexport function Page() { return <Card/>; }\nexport const routes = [{ path: '/home/:id', component: Page }];\n",
+    "lib/card.tsx": "export function Card() { return <div/>; }\n",
+    "lib/home.spec.ts": "it('opens', () => { cy.visit('/home/5'); });\n",
+    "svc/repo.py": "class Repo:\n    def save(self, x):\n        return x\n",
+    "svc/work.py": "from svc.repo import Repo\n\nclass Work:\n    def __init__(self, repo: Repo):\n        self.repo = repo\n\n    def run(self):\n        return self.repo.save(1)\n",
+    "svc/tool.py": "print(1)\n",
+    "svc/__init__.py": "",
+    "tests/conftest.py": "import pytest\nfrom svc.work import Work\n\n@pytest.fixture\ndef base():\n    return Work(None)\n\n@pytest.fixture\ndef work(base):\n    return base\n",
+    "tests/test_work.py": "import subprocess\nfrom unittest.mock import patch\n\ndef test_run(work):\n    with patch('svc.repo.Repo.save'):\n        subprocess.run(['python', 'svc/tool.py'])\n",
+    "net/Store.cs": "namespace Net.Data;\npublic class Store\n{\n    public int Load() { return 1; }\n}\n",
+    "net/Main.cs": "using Net.Data;\nnamespace Net.App;\npublic class Main\n{\n    private readonly Store store;\n    public int Go() { var s = new Store(); return store.Load(); }\n}\n",
+}
+
+
+def test_wired_facts(spark):
+    files = spark.createDataFrame([("w", p, bytearray(t.encode())) for p, t in WIRED.items()], "workspace_id string, path string, content binary")
+    m = scan(files)
+    edges = {(r["src"], r["dst"], r["kind"]): r for r in m.edges.collect()}
+    for e in [
+        ("w:lib/use.ts", "w:lib/core/a.ts", "imports"), ("w:lib/use.ts#go", "w:lib/core/a.ts#make", "calls"), ("w:lib/use.ts#go", "w:lib/core/a.ts#other", "calls"), ("w:lib/use.ts", "w:lib/core/barrel.ts", "references"),
+        ("w:lib/core/barrel.ts", "w:lib/core/a.ts", "imports"), ("w:lib/page.tsx#Page", "w:lib/card.tsx#Card", "calls"), ("w:svc/work.py#Work.run", "w:svc/repo.py#Repo.save", "calls"), ("w:net/Main.cs#Main.Go", "w:net/Store.cs#Store.Load", "calls"),
+        ("w:net/Main.cs", "w:net/Store.cs", "imports"), ("w:tests/test_work.py#test_run", "w:svc/repo.py#Repo.save", "tests"), ("w:tests/test_work.py#test_run", "w:svc/tool.py", "tests"), ("w:tests/test_work.py#test_run", "w:svc/work.py#Work", "tests"),
+        ("w:lib/home.spec.ts#opens", "w:lib/page.tsx#Page", "tests"),
+    ]:
+        assert e in edges, (e, sorted(k for k in edges if k[0] == e[0]))
+    assert edges["w:lib/page.tsx#Page", "w:lib/card.tsx#Card", "calls"]["attrs"] == '{"via":"jsx"}'
+    assert edges["w:svc/work.py#Work.run", "w:svc/repo.py#Repo.save", "calls"]["confidence"] == 0.6
+    assert "/api/items/{id}" in lookups.resolve(m, "w:lib/app/api/items/[id]/route.ts#GET").first()["attrs"]
+    assert m.edges.count() == m.edges.select("src", "dst", "kind", "source").distinct().count()
