@@ -68,8 +68,9 @@ def _endings(stem: Column) -> Column:
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(src, spec, dst): the file that each specifier means.
 
-    imports: src, path, spec; files: id, path; aliases: root, prefix, target (of those whose
-    root is above the importer the longest prefix wins, then the deepest root).
+    imports: src, path, spec; files: id, path; aliases: prefix, target and, where they do not
+    hold everywhere, root (of those whose root is above the importer the longest prefix wins,
+    then the deepest root).
     Relative ones start at the importer's directory; bare ones go through aliases; dotted
     Python modules are tried from every directory above the importer. Distinct pairs of
     directory and specifier are resolved once.
@@ -87,6 +88,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     b = python.select("dir", "spec", F.posexplode(stems).alias("place", "path")).withColumn("place", F.col("place") + 1000)
     out = a.unionByName(b)
     if aliases is not None:
+        aliases = aliases if "root" in aliases.columns else aliases.withColumn("root", F.lit(""))
         # Every beginning of a specifier, so that prefixes meet by equality.
         begins = F.transform(F.sequence(F.lit(0), F.length("spec")), lambda k: F.substring("spec", 1, k))
         hit = asked.filter(~relative).withColumn("prefix", F.explode(begins)).join(aliases, "prefix")
@@ -242,12 +244,18 @@ def match_results(results: DataFrame, cases: DataFrame) -> tuple[DataFrame, Data
     Tiers: the chain of names ends the result's chain; a bare name that occurs once; a name with
     ``${...}`` or ``%s`` holes as a pattern.
     """
-    a = results.join(cases.select("id", F.col("chain").alias("tail"), F.col("name").alias("case_name")), F.col("chain").endswith(F.col("tail")) & (F.element_at(F.split("chain", " > "), -1) == F.element_at(F.split("tail", " > "), -1))).select("rid", "id", F.lit(1).alias("tier"), (-F.length("tail")).alias("o"))
+    # Every end of a chain, so that chains meet by equality.
+    parts = F.split("chain", " > ")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), " > "))
+    a = results.select("rid", F.explode(ends).alias("tail")).join(cases.select("id", F.col("chain").alias("tail")), "tail").select("rid", "id", F.lit(1).alias("tier"), (-F.length("tail")).alias("o"))
     once = cases.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1").select("name", "id")
     b = results.join(once, "name").select("rid", "id", F.lit(2).alias("tier"), F.lit(0).alias("o"))
     holes = cases.filter(F.col("name").rlike(r"\$\{|%[sdifjop#]"))
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("name", r"\$\{[^}]*\}|%[sdifjop#]", "\0"), r"([\\.\[\]{}()*+?^$|])", r"\\$1"), "\0", ".*"), F.lit("$"))
-    c = results.select("rid", F.col("name").alias("got")).join(holes.select("id", pattern.alias("pattern"), F.length("name").alias("len")), F.expr("got rlike pattern")).select("rid", "id", F.lit(3).alias("tier"), (-F.col("len")).alias("o"))
+    # A name meets the patterns that begin like it, up to their first hole.
+    begin = F.regexp_extract("name", r"^(.*?)(?:\$\{|%[sdifjop#])", 1)
+    begins = F.transform(F.sequence(F.lit(0), F.length("name")), lambda k: F.substring("name", 1, k))
+    c = results.select("rid", F.col("name").alias("got"), F.explode(begins).alias("begin")).join(holes.select("id", begin.alias("begin"), pattern.alias("pattern"), F.length("name").alias("len")), "begin").filter(F.expr("got rlike pattern")).select("rid", "id", F.lit(3).alias("tier"), (-F.col("len")).alias("o"))
     best = a.unionByName(b).unionByName(c).groupBy("rid").agg(F.min(F.struct("tier", "o", "id")).alias("best"))
     hit = results.join(best, "rid").withColumn("test_node_id", F.col("best.id")).drop("best")
     miss = results.join(best.select("rid"), "rid", "left_anti").select(F.lit(None).cast("string").alias("node_id"), F.lit("unmapped_coverage").alias("kind"), F.col("name").alias("detail"))

@@ -343,9 +343,20 @@ def test_only(model: Model) -> DataFrame:
     return symbols.select("id", "name", "path").join(only, "id")
 
 
+def initialisers(model: Model) -> DataFrame:
+    """(src, dst): Python files, and the ``__init__.py`` files of the packages above them, which run first."""
+    python = model.files().filter("path like '%.py'").select("id", "workspace_id", "path")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k - 1), "/"))
+    init = python.filter("path like '%/__init__.py'").select(F.col("id").alias("dst"), "workspace_id", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"))
+    rows = python.select(F.col("id").alias("src"), "workspace_id", F.explode(above).alias("folder")).join(init, ["workspace_id", "folder"])
+    return rows.filter("src <> dst").select("src", "dst")
+
+
 def reachable(model: Model) -> DataFrame:
-    """Files that entries reach over imports and references."""
+    """Files that entries reach over imports, references and the initialisers of Python packages."""
     steps = model.links("imports", "references").select(file_part("src").alias("src"), file_part("dst").alias("dst")).filter("src <> dst")
+    steps = steps.union(initialisers(model))
     code = model.files().select(F.col("id").alias("src"), "role")
     outside = steps.join(code.filter("role <> 'code'"), "src", "left_semi").join(model.links("references").select(file_part("dst").alias("dst")).distinct(), "dst", "left_semi").select(F.col("dst").alias("id"))
     seeds = entries(model).union(outside).distinct().select(F.lit("entries").alias("seed"), "id")

@@ -98,11 +98,18 @@ def match_visits(visits: DataFrame, routes: DataFrame) -> DataFrame:
     v = visits.withColumn("vs", S.segments("path")).withColumn("n", F.size("vs"))
     r = routes.withColumn("rs", S.segments(S.http_normalise("path"))).withColumn("n", F.size("rs")).withColumnRenamed("path", "target")
     hole = lambda x: S.is_param(x) | (x == "*")
+    # Rows meet by the literal parts: each visit is read through each pattern of holes that routes of its length have.
+    through = F.expr("array_join(transform(rs, (x, k) -> case when substring(mask, k + 1, 1) = '1' then '*' else x end), '/')")
+    mask = lambda segments: F.array_join(F.transform(segments, lambda x: F.when(hole(x), "1").otherwise("0")), "")
+    r = r.withColumn("mask", mask(F.col("rs"))).withColumn("key", through)
+    plain, holed = v.filter(~F.exists("vs", hole)), v.filter(F.exists("vs", hole))
+    seen = plain.join(r.select("n", "mask").distinct(), "n").withColumn("key", F.expr("array_join(transform(vs, (x, k) -> case when substring(mask, k + 1, 1) = '1' then '*' else x end), '/')")).join(r, ["n", "mask", "key"])
     ok = F.forall(F.zip_with("vs", "rs", lambda a, b: hole(a) | hole(b) | (a == b)), lambda x: x)
+    met = seen.select("visit", "path", "target", "def", "redirect", "test", "rs").unionByName(holed.join(r, "n").filter(ok).select("visit", "path", "target", "def", "redirect", "test", "rs"))
     params = F.size(F.filter("rs", hole))
     static = F.length(F.array_join(F.filter("rs", lambda x: ~hole(x)), ""))
     order = Window.partitionBy("visit", "path").orderBy("test", params, F.desc(static), "target", "def")
-    hit = v.join(r, "n").filter(ok).withColumn("place", F.row_number().over(order)).filter("place = 1").select("visit", "path", "target", "def", "redirect")
+    hit = met.withColumn("place", F.row_number().over(order)).filter("place = 1").select("visit", "path", "target", "def", "redirect")
     onward = routes.select(F.col("path").alias("redirect"), F.col("def").alias("next_def"), F.col("redirect").alias("next"))
     for _ in range(REDIRECTS):
         hit = hit.join(onward, "redirect", "left").select("visit", "path", F.coalesce(F.when(F.col("next_def").isNotNull(), F.col("redirect")), "target").alias("target"), F.coalesce("next_def", "def").alias("def"), F.col("next").alias("redirect"))

@@ -141,12 +141,13 @@ def screen_references(uses: DataFrame, components: DataFrame) -> tuple[DataFrame
 # --- tasks ------------------------------------------------------------------------------------
 
 
-def refresh_tasks(tree: DataFrame, answers: DataFrame, max_depth: int = 64) -> DataFrame:
+def refresh_tasks(tree: DataFrame, answers: DataFrame) -> DataFrame:
     """States of summary tasks, from the leaves up: done, open, or blocked by a child.
 
     tree: id, parent_id, name, kind, content_hash; answers: input_hash, summary. The hash of a
     node covers the names, kinds and summaries of its children and its own content, never an
-    id or a path, so an answer serves every equal place.
+    id or a path, so an answer serves every equal place. Rounds end at the root, however deep
+    the tree is; nodes on a circle of parents have no leaf below and no row.
     """
     nodes = materialise(tree.select("id", "parent_id", "name", "kind", F.coalesce("content_hash", F.lit("")).alias("content_hash")), "tree")
     inner = nodes.filter("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
@@ -154,7 +155,7 @@ def refresh_tasks(tree: DataFrame, answers: DataFrame, max_depth: int = 64) -> D
     level = nodes.join(inner, "id", "left_anti").withColumn("inputs", F.lit(""))
     level = level.withColumn("ready", F.lit(True))
     rest = nodes.join(inner, "id", "left_semi")
-    for _ in range(max_depth):
+    while True:
         hashed = level.withColumn("input_hash", F.sha1(F.concat_ws("\0", "kind", "name", "content_hash", "inputs")))
         done = hashed.join(answers, "input_hash", "left")
         state = F.when(~F.col("ready"), "blocked").when(F.col("summary").isNotNull(), "done").otherwise("open")

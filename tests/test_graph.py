@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.model import Model
 from tessera.operators import graph as G
@@ -94,3 +95,48 @@ def test_reach_and_closure(spark):
 def test_ancestors_end_on_cycles(spark):
     nodes = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "id string, parent_id string")
     assert rows(G.ancestors(nodes), "id", "ancestor") == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b"), ("c", "c")]
+
+
+def test_initialisers_run_before_modules(spark):
+    m = build(spark, {"a/__init__.py": "code", "a/b/__init__.py": "code", "a/b/x.py": "code", "c/y.py": "code", "d/__init__.py": "code", "e/z.py": "code"}, [("a/__init__.py", "c/y.py")])
+    entry = m.nodes.withColumn("attrs", F.when(F.col("path") == "a/b/x.py", F.lit('{"role":"code","entry":true}')).otherwise(F.col("attrs")))
+    m = m.with_(nodes=entry)
+    assert sorted(r["id"] for r in G.reachable(m).collect()) == ["w:a/__init__.py", "w:a/b/__init__.py", "w:a/b/x.py", "w:c/y.py"]
+    assert sorted(r["id"] for r in G.unreachable(m).collect()) == ["w:d/__init__.py", "w:e/z.py"]
+
+
+def test_witness_is_the_first_of_the_shortest_cycles(spark):
+    r = random.Random(8)
+    n = 14
+    pairs = sorted({(r.randrange(n), r.randrange(n)) for _ in range(34)})
+    name = [f"n{r.randrange(6)}" for _ in range(n)]
+    edges = [(a, b) for a, b in pairs if a != b]
+    after = {a: [b for x, b in edges if x == a] for a in range(n)}
+    reach = {}
+    for a in range(n):
+        todo, seen = list(after[a]), set()
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += after[x]
+        reach[a] = seen
+    comps = {}
+    for a in range(n):
+        if a in reach[a]:
+            comps.setdefault(min(b for b in range(n) if b in reach[a] and a in reach[b]), []).append(a)
+    want = set()
+    for scc, members in comps.items():
+        start = min(members, key=lambda x: (name[x], f"{x:02}"))
+        ways = [[start]]
+        while ways:
+            done = [w for w in ways if start in after[w[-1]]]
+            if done:
+                best = min(done, key=lambda w: [(name[x], f"{x:02}") for x in w])
+                want.add((f"{scc:02}", len(members), len(best), " → ".join(name[x] for x in [*best, start])))
+                break
+            ways = [[*w, x] for w in ways for x in after[w[-1]] if x in members and x not in w]
+    e = spark.createDataFrame([("file", f"{a:02}", f"{b:02}") for a, b in edges], "level string, src string, dst string")
+    names = spark.createDataFrame([(f"{k:02}", v) for k, v in enumerate(name)], "id string, name string")
+    got = {tuple(x)[1:] for x in G.shortest_cycles(e, G.components(e), names).collect()}
+    assert got == want and want
