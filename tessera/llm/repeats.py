@@ -120,7 +120,7 @@ def _minimiser_counts(kind: str, width: int, span: int):
                 continue
             m = w.minimisers(span)
             at, _ = w.ranges(np.ones(len(m), bool), m)
-            value, n = np.unique(m[at], return_counts=True)
+            value, n = np.unique(K.mix(m[at]), return_counts=True)  # minima crowd at one end; mixed again they are spread
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     return count
@@ -137,8 +137,9 @@ def _travellers(kind: str, width: int, span: int, bits: int, shared):
             first, later = w.resolve(h)
             at, n = w.ranges(later)
             yield _rows(w, at, n, w.k1[w.piece[at]], None)
-            go = first & sketch.has_bit(bitmap, (m >> np.uint64(64 - bits)).astype(np.int64))
-            key = np.where(np.isin(m, hot), h, m) if len(hot) else m
+            spread = K.mix(m)
+            go = first & sketch.has_bit(bitmap, (spread >> np.uint64(64 - bits)).astype(np.int64))
+            key = np.where(np.isin(spread, hot), h, m) if len(hot) else m
             at, n = w.ranges(go, key)
             for lo in range(0, len(at), 50_000):
                 a, k = at[lo : lo + 50_000], n[lo : lo + 50_000]
