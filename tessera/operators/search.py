@@ -84,11 +84,13 @@ def search_documents(documents: DataFrame, query: str, weights: dict[str, float]
     words, weights = query_words(query), weights or WEIGHTS
     if not words:
         return documents.select("id", F.lit(0.0).alias("score")).limit(0)
-    found = {f: terms(F.col(f)) for f in weights if f in documents.columns}
+    fields = [f for f in weights if f in documents.columns]
+    split = documents.select("id", F.struct(*[terms(F.col(f)).alias(f) for f in fields]).alias("t"))  # words are split once
+    found = {f: F.col("t")[f] for f in fields}
     length = sum((F.size(t) for t in found.values()), F.lit(0))
     begins = lambda t, w: F.size(F.filter(t, lambda x: x.startswith(w)))
     tf = [sum((begins(t, w) * F.lit(weights[f]) for f, t in found.items()), F.lit(0.0)) for w in words]
-    rows = materialise(documents.select("id", length.alias("length"), F.array(*tf).alias("tf")).filter("length > 0"), "counts")
+    rows = materialise(split.select("id", length.alias("length"), F.array(*tf).alias("tf")).filter("length > 0"), "counts")
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(words))]).first()
     score = F.lit(0.0)
     for k in range(len(words)):
