@@ -112,12 +112,17 @@ class _Shingled:
         return value[order], first + at[order]
 
 
+def _slots(h: np.ndarray) -> np.ndarray:
+    """Cells of the table; hashes are mixed again, as prefixes prefer small ones."""
+    return (K.mix(h) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _frequent(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in K.text_chunks(batches, "text", CHUNK_BYTES):
             value, n = np.unique(_Shingled(K.as_bytes(table["text"]), width).hash, return_counts=True)
             often = n >= 2
-            yield pa.RecordBatch.from_arrays([pa.array((value[often] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)), pa.array(n[often].astype(np.int64))], ["slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(_slots(value[often])), pa.array(n[often].astype(np.int64))], ["slot", "n"])
 
     return run
 
@@ -129,7 +134,7 @@ def _prefix_tokens(width: int, percent: int, shared):
             s = _Shingled(K.as_bytes(table["text"]), width)
             parts = [_prefix(s.hashes(i), frequent, percent)[0] for i in np.flatnonzero(s.hi > s.lo)]
             if parts:
-                value, n = np.unique(np.concatenate(parts), return_counts=True)
+                value, n = np.unique(K.mix(np.concatenate(parts)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
     return run
@@ -137,7 +142,7 @@ def _prefix_tokens(width: int, percent: int, shared):
 
 def _prefix(u: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The first shingles of a set in the global order, by frequency class and hash, and their classes."""
-    cls = frequent[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    cls = frequent[_slots(u)]
     first = np.argsort(cls, kind="stable")[: len(u) - _need(len(u), percent) + 1]
     return u[first], cls[first]
 
@@ -148,7 +153,7 @@ def _need(n: np.ndarray | int, percent: int):
 
 def _signature(u: np.ndarray) -> np.ndarray:
     """Bit k is the parity of the shingles whose hash falls on k: sets differ in at least as many shingles as signatures in bits."""
-    spot = (K.mix(u) >> np.uint64(64 - 6 - SIGNATURE.bit_length() + 1)).astype(np.int64)
+    spot = (K.mix(u * K.STEP) >> np.uint64(64 - 6 - SIGNATURE.bit_length() + 1)).astype(np.int64)
     return np.packbits(np.bincount(spot, minlength=64 * SIGNATURE) & 1).view(np.int64)
 
 

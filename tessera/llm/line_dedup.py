@@ -58,7 +58,7 @@ def _fingerprints(width: int):
         for table in K.text_chunks(batches, "text", CHUNK_BYTES):
             units = K.units_of(K.as_bytes(table["text"]), "line")
             _, pick = selected(units, width)
-            value, n = np.unique(units.hash[np.unique(pick)], return_counts=True)
+            value, n = np.unique(K.mix(units.hash[np.unique(pick)]), return_counts=True)  # minima crowd at one end; mixed again they are spread
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], ["fingerprint", "n"])
 
     return run
@@ -87,7 +87,7 @@ def _positions(width: int, bits: int, shared):
         for table in K.text_chunks(batches, "text", CHUNK_BYTES):
             units = K.units_of(K.as_bytes(table["text"]), "line")
             at, pick = selected(units, width)
-            go = sketch.has_bit(bitmap, (units.hash[pick] >> np.uint64(64 - bits)).astype(np.int64))
+            go = sketch.has_bit(bitmap, (K.mix(units.hash[pick]) >> np.uint64(64 - bits)).astype(np.int64))
             at, pick = at[go], pick[go]
             if not len(at):
                 continue
