@@ -23,6 +23,8 @@ from tessera.llm import textkernel as K
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
 CHUNK_BYTES = 8 << 20
+#: Bytes of texts whose features are found at a time: what is held beside them is some fifty times as large.
+SLICE_BYTES = 1 << 20
 
 #: Groups of bytes that are counted.
 GROUPS = (b" \t\n\v\f\r", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:'\"-()?", b"!", b"|", b"#$%&*+/<=>@[\\]^_`{}~")
@@ -54,8 +56,19 @@ def _distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.bincount(text[start], minlength=n), top
 
 
-def features(texts: list[bytes]) -> np.ndarray:
-    """A row of numbers per text; the text is all they depend on."""
+def features(texts: list[bytes], limit: int = SLICE_BYTES) -> np.ndarray:
+    """A row of numbers per text; the text is all they depend on, and at most ``limit`` bytes (or one text) are worked on at a time."""
+    end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    out, at = np.zeros((len(texts), len(FEATURES))), 0
+    while at < len(texts):
+        room = limit + (end[at - 1] if at else 0)
+        stop = max(int(np.searchsorted(end, room, "right")), at + 1)
+        out[at:stop] = _features(texts[at:stop])
+        at = stop
+    return out
+
+
+def _features(texts: list[bytes]) -> np.ndarray:
     n = len(texts)
     size = np.fromiter(map(len, texts), np.int64, n)
     bytes_ = np.frombuffer(b"".join(texts), np.uint8)
@@ -87,7 +100,7 @@ def features(texts: list[bytes]) -> np.ndarray:
         _per_text(head == 1, words.first) / w,
         top / w,
     ]
-    return np.column_stack(columns) if n else np.zeros((0, len(FEATURES)))
+    return np.column_stack(columns)
 
 
 class Model(NamedTuple):

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.llm import tokens
+
 #: The white space of the contract, and odd multipliers of the hash functions.
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 MIX_A = np.uint64(0xFF51AFD7ED558CCD)
@@ -149,7 +151,8 @@ def runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.Table]:
-    """Tables of whole rows with about ``limit`` bytes in ``column`` (one row at least)."""
+    """Tables of whole rows with about ``limit`` bytes in ``column`` (one row at least); encoders of earlier tasks go."""
+    tokens.release()
     held, size = [], 0
     for batch in batches:
         at = 0

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import ctypes
 import os
 import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 END_ID = 0
 #: Pieces a worker remembers; beyond that it encodes without remembering.
@@ -79,5 +81,18 @@ class PieceEncoder:
 
 @cache
 def encoder(name: str = "byte_bpe_50k") -> PieceEncoder:
-    """One encoder per worker process, kept across its tasks."""
+    """One encoder per worker process, kept across its tasks until ``release``."""
     return PieceEncoder(name)
+
+
+def release() -> None:
+    """Gives back what this process holds for encoders, up to some 200 MB; the next one is built anew.
+
+    Workers outlive operators, so those that need room call this before they take it.
+    """
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+        if trim:
+            trim(0)

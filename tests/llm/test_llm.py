@@ -480,6 +480,36 @@ def test_quality(spark):
     assert features([b"", b"x"]).shape == (2, len(FEATURES))
 
 
+def test_features_hold_little_beside_their_texts():
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    words = ["a", "Word", "seven", "1234", "!!", "longer-than-15-letters", "|", "x\ny", "\n", " "]
+    texts = [" ".join(words[k] for k in r.integers(0, len(words), r.integers(0, 900))).encode() for _ in range(2000)]
+    texts[7], texts[8], texts[-1] = b"", b"long text\n" * 200_000, b""
+    assert sum(map(len, texts)) > 6 << 20
+    tracemalloc.start()
+    got = features(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # 171 MB for all texts at once
+    some = [0, 6, 7, 8, 9, 500, 1998, 1999]
+    assert (got[some] == np.concatenate([features([texts[i]]) for i in some])).all()
+    assert (got == features(texts, 1)).all() and (got == features(texts, 1 << 30)).all()
+    assert features([]).shape == (0, len(FEATURES))
+
+
+def test_encoders_of_earlier_tasks_go_before_texts_are_read():
+    from tessera.llm.tokens import encoder
+
+    before = encoder()("some words, and others")
+    assert encoder.cache_info().currsize == 1
+    table = pa.RecordBatch.from_pydict({"text": ["a b", None, "c"]})
+    assert [t.num_rows for t in K.text_chunks(iter([table]), "text", 1 << 20)] == [3]
+    assert encoder.cache_info().currsize == 0
+    assert encoder()("some words, and others") == before
+
+
 def test_scores_are_sums_of_table_entries():
     r = np.random.default_rng(2)
     x = r.uniform(0, 1, (400, 4)).round(2)
