@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.storage import free_names, hot_split_join, materialise
 
@@ -29,10 +30,15 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def content_digest(text: str | Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def digests(docs: DataFrame, id_col: str, text_col: str, content: bool = False) -> DataFrame:
     """Per row: doc_id, row (its number), digest (sha256 of the normalised text), its length in bytes and the code points of the text.
 
-    The table is written before it is read, so a row has the same number for every reader.
+    The table is written before it is read, so a row has the same number for every reader. With
+    ``content``, rows have a digest of the text as it is too.
     """
     text, norm = F.coalesce(F.col(text_col), F.lit("")), normalised(F.col(text_col))
     rows = docs.select(
@@ -41,6 +47,7 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.sha2(norm, 256).alias("digest"),
         F.octet_length(norm).alias("bytes"),
         F.char_length(text).cast("long").alias("points"),
+        *([content_digest(text).alias("content")] if content else []),
     )
     return materialise(rows, "digests")
 
@@ -104,11 +111,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row per text, as in ``exact_groups``.
 
-    Rows that repeat an id and its text are one row afterwards; columns may have any names.
+    Rows are told apart by id and text; those that repeat both are one row afterwards. Texts
+    are not written, only digests of them. Columns may have any names.
     """
-    (number,) = free_names(docs.columns, "row")
-    numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
-    text, norm = F.coalesce(F.col(text_col), F.lit("")), normalised(F.col(text_col))
-    rows = numbered.select(F.col(id_col).cast("long").alias("doc_id"), F.col(number).alias("row"), F.sha2(norm, 256).alias("digest"), F.octet_length(norm).alias("bytes"), F.char_length(text).cast("long").alias("points"))
-    gone = _grouped(materialise(rows, "digests")).filter("not kept").select(F.col("row").alias(number))
-    return numbered.join(gone, number, "left_anti").drop(number)
+    id_, content, turn, k, c = free_names(docs.columns, "id", "content", "turn", "k", "c")
+    rows = _grouped(digests(docs, id_col, text_col, content=True)).filter("size > 1")
+    told = materialise(rows.groupBy("doc_id", "content").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "told")
+    gone = told.filter("not kept").select(F.col("doc_id").alias(k), F.col("content").alias(c))
+    keyed = docs.withColumns({id_: F.col(id_col).cast("long"), content: content_digest(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = keyed.join(gone, F.col(id_).eqNullSafe(F.col(k)) & (F.col(content) == F.col(c)), "left_anti")
+    if not told.filter("kept and n > 1").isEmpty():
+        kept = kept.withColumn(turn, F.row_number().over(Window.partitionBy(id_, content).orderBy(F.lit(1)))).filter(F.col(turn) == 1).drop(turn)
+    return kept.drop(id_, content)

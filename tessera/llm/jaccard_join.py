@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 from tessera.llm import sketch
 from tessera.llm import textkernel as K
 from tessera.llm.components import connected
+from tessera.llm.exact_dedup import content_digest
 from tessera.llm.storage import free_names, hot_split_join, materialise
 
 SHINGLE = 5
@@ -405,10 +406,6 @@ class _Join:
         return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def content_digest(text: str | Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, class_id, component_id.
 

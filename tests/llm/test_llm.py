@@ -319,6 +319,28 @@ def test_exact_dedup_keeps_columns_of_any_name(spark):
     assert told == {(least, least, True), (None, least, False)}
 
 
+def test_exact_dedup_writes_no_texts(spark):
+    import os
+    from tessera.llm.storage import shared_dir
+
+    r = random.Random(4)
+    texts = ["".join(r.choices("abcdefghij klmnop", k=20_000)) for _ in range(40)]
+    rows = [(i, texts[i % 40] + " " * (i % 3), i) for i in range(60)] + [(3, texts[3], 100), (None, texts[5], 101), (None, "x", 102), (None, "x", 103), (7, " x", 104), (7, "x ", 105), (61, None, 106)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k long").repartition(3)
+    top = shared_dir(spark).removeprefix("file://")
+    used = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
+    before = used()
+    out = drop_copies(docs)
+    assert used() - before < 200_000  # of 1.2 MB of texts
+    best: dict[str, tuple] = {}
+    for i, text, _ in rows:
+        key = re.sub(r"[\x20\x09-\x0D]+", "", text or "")
+        best[key] = min(best.get(key, (1, True, 0)), (-len(text or ""), i is None, i or 0))
+    got = out.collect()
+    assert sorted((-len(x["text"] or ""), x["doc_id"] is None, x["doc_id"] or 0) for x in got) == sorted(best.values())
+    assert {(x["doc_id"], x["text"], x["k"]) for x in got} <= set(rows) and out.columns == docs.columns
+
+
 def test_exact_dedup_of_awkward_rows(spark):
     rows = exact_groups(awkward(spark)).collect()
     assert len(rows) == 8 and sum(r["kept"] for r in rows) == 5
