@@ -30,6 +30,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that never broadcasts: small files can hold rows that take a hundred times their size in the driver."""
+    return df.hint("merge")
+
+
 def next_in_order(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """``df`` with a column ``name``: ``value`` of the next row in the order of all rows, null for the last one.
 

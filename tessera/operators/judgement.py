@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import scalars as S
-from tessera.lineage import materialise
+from tessera.lineage import materialise, shuffled
 from tessera.model import Model
 
 CONCEPT_SCHEMA = "id string, parent_id string, name string, kind string, files array<string>, ordinal int"
@@ -240,10 +240,14 @@ def pack_parts(items: DataFrame, budget: int) -> DataFrame:
 
 
 def open_pairs(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of files (src, dst) that no chunk (area, part, id) holds together."""
+    """Pairs of files (src, dst) that no chunk (area, part, id) holds together.
+
+    Each pair meets the chunks of its first file, and those the second: never two files of a chunk that are no pair.
+    """
     p = parts.select("area", "part", "id")
-    a, b = p.withColumnRenamed("id", "src"), p.withColumnRenamed("id", "dst")
-    return pairs.join(a.join(b, ["area", "part"]).join(pairs.select("src", "dst"), ["src", "dst"], "left_semi").select("src", "dst"), ["src", "dst"], "left_anti")
+    a, b = shuffled(p.withColumnRenamed("id", "src")), shuffled(p.withColumnRenamed("id", "dst"))
+    held = pairs.select("src", "dst").join(a, "src").join(b, ["area", "part", "dst"], "left_semi").select("src", "dst")
+    return pairs.join(shuffled(held), ["src", "dst"], "left_anti")
 
 
 # --- answers ------------------------------------------------------------------------------------
