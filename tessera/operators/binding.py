@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.lineage import materialise
+from tessera.lineage import materialise, shuffled
 from tessera.model import file_part
 
 #: Lines of a bucket for range joins.
@@ -242,23 +242,28 @@ def match_results(results: DataFrame, cases: DataFrame) -> tuple[DataFrame, Data
     """Results (rid, name, chain) matched to test nodes (id, name, chain), and diagnostics of the others.
 
     Tiers: the chain of names ends the result's chain; a bare name that occurs once; a name with
-    ``${...}`` or ``%s`` holes as a pattern.
+    ``${...}`` or ``%s`` holes as a pattern. Ties go to the smallest id, so only that one of the
+    cases of a chain or name travels, and each distinct (name, chain) of results is matched once.
     """
+    asked = results.select("name", "chain").distinct()
     # Every end of a chain, so that chains meet by equality.
     parts = F.split("chain", " > ")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), " > "))
-    a = results.select("rid", F.explode(ends).alias("tail")).join(cases.select("id", F.col("chain").alias("tail")), "tail").select("rid", "id", F.lit(1).alias("tier"), (-F.length("tail")).alias("o"))
-    once = cases.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1").select("name", "id")
-    b = results.join(once, "name").select("rid", "id", F.lit(2).alias("tier"), F.lit(0).alias("o"))
-    holes = cases.filter(F.col("name").rlike(r"\$\{|%[sdifjop#]"))
+    tails = cases.groupBy(F.col("chain").alias("tail")).agg(F.min("id").alias("id"))
+    a = asked.select("name", "chain", F.explode(ends).alias("tail")).join(tails, "tail").select("name", "chain", "id", F.lit(1).alias("tier"), (-F.length("tail")).alias("o"))
+    names = cases.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    b = asked.join(names.filter("n = 1").select("name", "id"), "name").select("name", "chain", "id", F.lit(2).alias("tier"), F.lit(0).alias("o"))
+    holes = names.filter(F.col("name").rlike(r"\$\{|%[sdifjop#]"))
     pattern = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("name", r"\$\{[^}]*\}|%[sdifjop#]", "\0"), r"([\\.\[\]{}()*+?^$|])", r"\\$1"), "\0", ".*"), F.lit("$"))
     # A name meets the patterns that begin like it, up to their first hole.
     begin = F.regexp_extract("name", r"^(.*?)(?:\$\{|%[sdifjop#])", 1)
     begins = F.transform(F.sequence(F.lit(0), F.length("name")), lambda k: F.substring("name", 1, k))
-    c = results.select("rid", F.col("name").alias("got"), F.explode(begins).alias("begin")).join(holes.select("id", begin.alias("begin"), pattern.alias("pattern"), F.length("name").alias("len")), "begin").filter(F.expr("got rlike pattern")).select("rid", "id", F.lit(3).alias("tier"), (-F.col("len")).alias("o"))
-    best = a.unionByName(b).unionByName(c).groupBy("rid").agg(F.min(F.struct("tier", "o", "id")).alias("best"))
-    hit = results.join(best, "rid").withColumn("test_node_id", F.col("best.id")).drop("best")
-    miss = results.join(best.select("rid"), "rid", "left_anti").select(F.lit(None).cast("string").alias("node_id"), F.lit("unmapped_coverage").alias("kind"), F.col("name").alias("detail"))
+    c = asked.select("name", "chain", F.col("name").alias("got"), F.explode(begins).alias("begin")).join(holes.select("id", begin.alias("begin"), pattern.alias("pattern"), F.length("name").alias("len")), "begin").filter(F.expr("got rlike pattern")).select("name", "chain", "id", F.lit(3).alias("tier"), (-F.col("len")).alias("o"))
+    best = a.unionByName(b).unionByName(c).groupBy(F.col("name").alias("best_name"), F.col("chain").alias("best_chain")).agg(F.min(F.struct("tier", "o", "id")).alias("best"))
+    on = F.col("name").eqNullSafe(F.col("best_name")) & F.col("chain").eqNullSafe(F.col("best_chain"))
+    results = shuffled(results)
+    hit = results.join(best, on).withColumn("test_node_id", F.col("best.id")).drop("best", "best_name", "best_chain")
+    miss = results.join(best, on, "left_anti").select(F.lit(None).cast("string").alias("node_id"), F.lit("unmapped_coverage").alias("kind"), F.col("name").alias("detail"))
     return hit, miss
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tessera.operators import binding as B
 from tessera.operators import judgement as J
 
 
@@ -29,3 +30,15 @@ def test_open_pairs_of_a_large_chunk(spark):
     pairs = spark.createDataFrame([("1", "2"), ("3", "gone"), ("gone", "3"), ("4", "4")], "src string, dst string")
     out, most = most_rows(J.open_pairs(pairs, parts))
     assert sorted(map(tuple, out)) == [("3", "gone"), ("gone", "3")] and most <= n
+
+
+def test_results_of_many_cases_of_one_name(spark):
+    n = 2000
+    cases = spark.range(n).select("id", F.lit("runs").alias("name"), F.lit("C > runs").alias("chain"))
+    cases = cases.union(spark.createDataFrame([(n + 1, "adds %s", "D > adds %s"), (n, "adds %s", "E > adds %s"), (n + 2, "once", "F > once")], "id long, name string, chain string"))
+    results = spark.range(n).select("id", F.lit("runs").alias("name"), F.lit("T > C > runs").alias("chain"))
+    results = results.union(spark.createDataFrame([(n, "adds 1", "adds 1"), (n + 1, "once", None), (n + 2, "lost", "lost"), (n + 3, None, "F > once"), (n + 4, None, None)], "id long, name string, chain string")).withColumnRenamed("id", "rid")
+    hit, miss = B.match_results(results, cases)
+    out, most = most_rows(hit.select("rid", "test_node_id"))
+    assert sorted(map(tuple, out)) == [*((i, 0) for i in range(n)), (n, n), (n + 1, n + 2), (n + 3, n + 2)] and most <= 2 * n
+    assert sorted(str(r["detail"]) for r in miss.collect()) == ["None", "lost"]
