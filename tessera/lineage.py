@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,6 +30,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, label: str, when: str = "true") -> tuple[DataFrame, int]:
+    """``materialise`` for joins that never broadcast, and the number of rows where ``when`` holds, counted as they are written."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count_if(F.expr(when)).alias("n")), label)
+    return shuffled(out), seen.get["n"]
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """``df`` for a join that never broadcasts: small files can hold rows that take a hundred times their size in the driver."""
     return df.hint("merge")

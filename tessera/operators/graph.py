@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.lineage import materialise
+from tessera.lineage import kept, materialise, shuffled
 from tessera.model import Model, file_part, role
 
 METRICS = ("fan_in", "fan_out", "loc", "symbols", "test_files")
@@ -160,29 +160,27 @@ def reach(seeds: DataFrame, edges: DataFrame, max_rounds: int | None = None) ->
 
     Each round joins only the rows that the round before found. Lists of seeds advance together.
     """
-    edges = materialise(edges.select("src", "dst").distinct(), "edges")
-    found = materialise(seeds.select("seed", "id", F.lit(0).alias("depth")).distinct(), "seen")
+    edges, _ = kept(edges.select("src", "dst").distinct(), "edges")
+    found, _ = kept(seeds.select("seed", "id", F.lit(0).alias("depth")).distinct(), "seen")
     front, depth = found, 0
     while max_rounds is None or depth < max_rounds:
         depth += 1
         step = front.join(edges, front["id"] == edges["src"]).select("seed", F.col("dst").alias("id")).distinct()
-        front = materialise(step.join(found, ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
-        if front.isEmpty():
+        front, more = kept(step.join(shuffled(found), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), "front")
+        if not more:
             break
         found = found.unionByName(front)
         if depth % 8 == 0:
-            found = materialise(found, "seen")
-    return found
+            found, _ = kept(found, "seen")
+    return shuffled(found)
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst): all pairs joined by a path of one edge or more, by doubling."""
-    pairs = materialise(edges.select("src", "dst").distinct(), "pairs")
-    size = pairs.count()
+    pairs, size = kept(edges.select("src", "dst").distinct(), "pairs")
     while True:
         further = pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        pairs = materialise(pairs.union(further).distinct(), "pairs")
-        now = pairs.count()
+        pairs, now = kept(pairs.union(further).distinct(), "pairs")
         if now == size:
             return pairs
         size = now
@@ -424,5 +422,3 @@ def render_graph(model: Model) -> DataFrame:
 def rendered_from(model: Model, roots: DataFrame) -> DataFrame:
     """Components that roots (id) render, directly or not."""
     return reach(roots.select(F.col("id").alias("seed"), "id"), render_graph(model))
-
-

@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from tessera.lineage import kept
+from tessera.model import Model
 from tessera.operators import binding as B
+from tessera.operators import graph as G
 from tessera.operators import judgement as J
 
 
@@ -42,3 +45,22 @@ def test_results_of_many_cases_of_one_name(spark):
     out, most = most_rows(hit.select("rid", "test_node_id"))
     assert sorted(map(tuple, out)) == [*((i, 0) for i in range(n)), (n, n), (n + 1, n + 2), (n + 3, n + 2)] and most <= 2 * n
     assert sorted(str(r["detail"]) for r in miss.collect()) == ["None", "lost"]
+
+
+def broadcasts(df):
+    df.collect()
+    return [p.nodeName() for p in plans(df._jdf.queryExecution().executedPlan()) if p.getClass().getSimpleName() == "BroadcastExchangeExec"]
+
+
+def test_reach_sends_no_rows_to_the_driver(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a")], "src string, dst string")
+    found = G.reach(spark.createDataFrame([("s", "a")], "seed string, id string"), edges)
+    kinds = found.select("id").join(edges.select(F.col("src").alias("id")), "id")
+    assert sorted(r["id"] for r in kinds.collect()) == ["a", "b", "c"] and broadcasts(kinds) == []
+
+
+def test_rows_are_counted_as_they_are_kept(spark):
+    rows = spark.range(10)
+    assert kept(rows, "some")[1] == 10 and kept(rows, "few", "id < 3")[1] == 3
+    none, n = kept(rows.filter("id > 20").join(rows, "id"), "none")
+    assert n == 0 and none.count() == 0
