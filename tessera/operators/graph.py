@@ -100,7 +100,7 @@ def production_imports(model: Model, tests: bool = False) -> DataFrame:
     """Import rows between files (src, dst); without ``tests`` both ends are production code."""
     files = model.files()
     files = files if tests else files.filter("role = 'code'")
-    ids = files.select(F.col("id").alias("dst"))
+    ids = shuffled(files.select(F.col("id").alias("dst")))
     edges = model.links("imports").select("src", "dst")
     return edges.join(ids, "dst", "left_semi").join(ids.withColumnRenamed("dst", "src"), "src", "left_semi").select("src", "dst")
 
@@ -192,19 +192,17 @@ def bounded_bfs(model: Model, seeds: DataFrame, kind: str = "calls", hops: int =
     return reach(start, model.links(kind), hops)
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Edges (level, src, dst) left when nodes without an incoming or an outgoing edge are gone, again and again."""
-    edges = materialise(edges.select("level", "src", "dst").distinct(), "trim")
-    size = edges.count()
+def _trim(edges: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (level, src, dst) left when nodes without an incoming or an outgoing edge are gone, again and again, and their number."""
+    edges, size = kept(edges.select("level", "src", "dst").distinct(), "trim")
     while size:
         tails = edges.select("level", F.col("src").alias("dst")).distinct()
         heads = edges.select("level", F.col("dst").alias("src")).distinct()
-        edges = materialise(edges.join(tails, ["level", "dst"], "left_semi").join(heads, ["level", "src"], "left_semi").select("level", "src", "dst"), "trim")
-        now = edges.count()
+        edges, now = kept(edges.join(tails, ["level", "dst"], "left_semi").join(heads, ["level", "src"], "left_semi").select("level", "src", "dst"), "trim")
         if now == size:
             break
         size = now
-    return edges
+    return edges, size
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,37 +212,34 @@ def components(edges: DataFrame) -> DataFrame:
     a fixpoint and each colour's root collects backward what has its colour, so no component is ever
     gathered in one task.
     """
-    left = _trim(edges)
-    loops = materialise(edges.filter("src = dst").select("level", F.col("src").alias("id"), F.col("src").alias("scc")).distinct(), "loops")
+    left, size = _trim(edges)
+    loops, _ = kept(edges.filter("src = dst").select("level", F.col("src").alias("id"), F.col("src").alias("scc")).distinct(), "loops")
     done: DataFrame | None = None
-    while not left.isEmpty():
+    while size:
         nodes = left.select("level", F.col("src").alias("id")).union(left.select("level", F.col("dst").alias("id"))).distinct()
-        colour = materialise(nodes.withColumn("colour", F.col("id")), "colour")
-        while True:
+        colour, changed = kept(nodes.withColumn("colour", F.col("id")), "colour")
+        while changed:
             new = left.join(colour.withColumnsRenamed({"id": "src"}), ["level", "src"]).select("level", F.col("dst").alias("id"), F.col("colour").alias("other"))
             new = new.groupBy("level", "id").agg(F.min("other").alias("other"))
-            both = materialise(colour.join(new, ["level", "id"], "left").withColumn("next", F.least("colour", F.coalesce("other", "colour"))), "colour")
-            changed = not both.filter("next < colour").isEmpty()
+            both, changed = kept(colour.join(new, ["level", "id"], "left").withColumn("next", F.least("colour", F.coalesce("other", "colour"))), "colour", "next < colour")
             colour = both.select("level", "id", F.col("next").alias("colour"))
-            if not changed:
-                break
         same = left.join(colour.withColumnsRenamed({"id": "src", "colour": "cs"}), ["level", "src"]).join(colour.withColumnsRenamed({"id": "dst", "colour": "cd"}), ["level", "dst"])
-        same = materialise(same.filter("cs = cd").select("level", "src", "dst", F.col("cs").alias("colour")), "same")
+        same, _ = kept(same.filter("cs = cd").select("level", "src", "dst", F.col("cs").alias("colour")), "same")
         back = reach(
             colour.filter("id = colour").select(F.concat_ws("\0", "level", "colour").alias("seed"), F.concat_ws("\0", "level", "id").alias("id")),
             same.select(F.concat_ws("\0", "level", "dst").alias("src"), F.concat_ws("\0", "level", "src").alias("dst")),
         )
         part = lambda c, k: F.element_at(F.split(F.col(c), "\0"), k)
-        one = materialise(back.select(part("id", 1).alias("level"), part("id", 2).alias("id"), part("seed", 2).alias("scc")).distinct(), "scc")
+        one, _ = kept(back.select(part("id", 1).alias("level"), part("id", 2).alias("id"), part("seed", 2).alias("scc")).distinct(), "scc")
         done = one if done is None else done.unionByName(one)
         gone = one.select("level", "id")
         left = left.join(gone.withColumnRenamed("id", "src"), ["level", "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), ["level", "dst"], "left_anti")
-        left = _trim(left)
+        left, size = _trim(left)
     if done is None:
         return loops
     size = Window.partitionBy("level", "scc")
     done = done.withColumn("n", F.count(F.lit(1)).over(size)).filter("n > 1").drop("n")
-    return done.unionByName(loops.join(done, ["level", "id"], "left_anti"))
+    return done.unionByName(loops.join(shuffled(done), ["level", "id"], "left_anti"))
 
 
 def cycle_edges(model: Model) -> DataFrame:

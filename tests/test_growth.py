@@ -64,3 +64,10 @@ def test_rows_are_counted_as_they_are_kept(spark):
     assert kept(rows, "some")[1] == 10 and kept(rows, "few", "id < 3")[1] == 3
     none, n = kept(rows.filter("id > 20").join(rows, "id"), "none")
     assert n == 0 and none.count() == 0
+
+
+def test_production_imports_send_no_files_to_the_driver(spark):
+    nodes = spark.createDataFrame([(i, "file", '{"role":"%s"}' % r) for i, r in (("a", "code"), ("b", "code"), ("t", "test"))], "id string, kind string, attrs string")
+    model = Model.of(spark, nodes=nodes, edges=spark.createDataFrame([("a", "b", "imports"), ("t", "a", "imports")], "src string, dst string, kind string"))
+    out = G.production_imports(model)
+    assert [tuple(r) for r in out.collect()] == [("a", "b")] and broadcasts(out) == []
