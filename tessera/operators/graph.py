@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.lineage import kept, materialise, shuffled
+from tessera.lineage import kept, shuffled
 from tessera.model import Model, file_part, role
 
 METRICS = ("fan_in", "fan_out", "loc", "symbols", "test_files")
@@ -246,10 +246,11 @@ def cycle_edges(model: Model) -> DataFrame:
     """Edges between code files, their immediate folders, and their packages: (level, src, dst)."""
     edges = production_imports(model).distinct()
     parents = model.files().select(F.col("id").alias("file"), F.col("parent_id").alias("container")).join(model.kind("group").select(F.col("id").alias("container")), "container", "left_semi")
+    edges, _ = kept(edges, "production")
     out = edges.select(F.lit("file").alias("level"), "src", "dst")
     for level, bridge in (("folder", parents), ("package", members(model, "package"))):
-        a = bridge.select(F.col("file").alias("src"), F.col("container").alias("a"))
-        b = bridge.select(F.col("file").alias("dst"), F.col("container").alias("b"))
+        a = shuffled(bridge.select(F.col("file").alias("src"), F.col("container").alias("a")))
+        b = shuffled(bridge.select(F.col("file").alias("dst"), F.col("container").alias("b")))
         out = out.union(edges.join(a, "src").join(b, "dst").filter("a <> b").select(F.lit(level), "a", "b").distinct())
     return out
 
@@ -259,10 +260,10 @@ def cycles(model: Model) -> DataFrame:
 
     Of the shortest ones the cycle whose members come first in that order, step by step.
     """
-    edges = materialise(cycle_edges(model), "cycle-edges")
-    comps = materialise(components(edges), "components")
-    names = model.nodes.select("id", F.coalesce("name", "id").alias("name"))
-    return shortest_cycles(edges, comps, names)
+    edges, _ = kept(cycle_edges(model), "cycle-edges")
+    comps, _ = kept(components(edges), "components")
+    names = model.nodes.select("id", F.coalesce("name", "id").alias("name")).join(comps.select("id").distinct(), "id", "left_semi")
+    return shortest_cycles(edges, comps, kept(names, "names")[0])
 
 
 def shortest_cycles(edges: DataFrame, comps: DataFrame, names: DataFrame) -> DataFrame:
@@ -271,26 +272,27 @@ def shortest_cycles(edges: DataFrame, comps: DataFrame, names: DataFrame) -> Dat
     Distances from the first member and back to it come from breadth-first searches as joins;
     then all components walk along nodes whose two distances add up, a step a round.
     """
+    comps, names = shuffled(comps), shuffled(names)
     member = comps.join(names, "id").select("level", "scc", F.struct("name", "id").alias("node"), "id")
     ends = lambda side: comps.select("level", "scc", F.col("id").alias(side))
     inner = edges.join(ends("src"), ["level", "src"]).join(ends("dst"), ["level", "scc", "dst"])
     key = F.concat_ws("\0", "level", "scc")
-    inner = materialise(inner.select(key.alias("comp"), "src", "dst").distinct(), "inner")
-    starts = materialise(member.groupBy("level", "scc", key.alias("comp")).agg(F.min("node").alias("start"), F.count(F.lit(1)).alias("size")), "starts")
+    inner, _ = kept(inner.select(key.alias("comp"), "src", "dst").distinct(), "inner")
+    starts, _ = kept(member.groupBy("level", "scc", key.alias("comp")).agg(F.min("node").alias("start"), F.count(F.lit(1)).alias("size")), "starts")
     near = lambda to, back: _distances(starts.select("comp", F.col("start.id").alias("id")), inner.select("comp", F.col(to).alias("src"), F.col(back).alias("dst")))
     out, back = near("src", "dst"), near("dst", "src")
     # A cycle's length: a step out, and the way back from there.
     on = inner.join(out.select("comp", F.col("id").alias("src"), F.col("depth").alias("far")), ["comp", "src"]).join(back.select("comp", F.col("id").alias("dst"), F.col("depth").alias("left")), ["comp", "dst"])
     length = on.filter("far = 0").groupBy("comp").agg((F.min("left") + 1).alias("length"))
-    on = on.join(length, "comp").filter("far + left + 1 = length").join(names.withColumnsRenamed({"id": "dst", "name": "next"}), "dst")
-    on = materialise(on.select("comp", "src", "far", F.struct(F.col("next").alias("name"), F.col("dst").alias("id")).alias("next")), "ways")
+    on = on.join(shuffled(length), "comp").filter("far + left + 1 = length").join(names.withColumnsRenamed({"id": "dst", "name": "next"}), "dst")
+    on, _ = kept(on.select("comp", "src", "far", F.struct(F.col("next").alias("name"), F.col("dst").alias("id")).alias("next")), "ways")
     paths = starts.join(length, "comp").select("*", F.col("start.id").alias("at"), F.array("start.name").alias("path"), F.lit(0).alias("far"))
-    paths, steps = materialise(paths, "paths"), 0
-    while not paths.filter(F.col("length") > steps).isEmpty():
+    (paths, going), steps = kept(paths, "paths", "length > 0"), 0
+    while going:
         step = paths.join(on.withColumnRenamed("src", "at"), ["comp", "at", "far"]).groupBy("comp").agg(F.min("next").alias("next"))
         grown = paths.join(step, "comp", "left")
-        paths = materialise(grown.withColumns({"at": F.coalesce("next.id", "at"), "path": F.when(F.col("next").isNotNull(), F.concat("path", F.array("next.name"))).otherwise(F.col("path")), "far": F.col("far") + 1}).drop("next"), "paths")
         steps += 1
+        paths, going = kept(grown.withColumns({"at": F.coalesce("next.id", "at"), "path": F.when(F.col("next").isNotNull(), F.concat("path", F.array("next.name"))).otherwise(F.col("path")), "far": F.col("far") + 1}).drop("next"), "paths", f"length > {steps}")
     return paths.select("level", "scc", "size", F.col("length").cast("int").alias("length"), F.substring(F.array_join("path", " → "), 1, DETAIL_CHARS).alias("detail"))
 
 
