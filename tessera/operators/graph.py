@@ -353,7 +353,7 @@ def reachable(model: Model) -> DataFrame:
     steps = model.links("imports", "references").select(file_part("src").alias("src"), file_part("dst").alias("dst")).filter("src <> dst")
     steps = steps.union(initialisers(model))
     code = model.files().select(F.col("id").alias("src"), "role")
-    outside = steps.join(code.filter("role <> 'code'"), "src", "left_semi").join(model.links("references").select(file_part("dst").alias("dst")).distinct(), "dst", "left_semi").select(F.col("dst").alias("id"))
+    outside = steps.join(shuffled(code.filter("role <> 'code'")), "src", "left_semi").join(shuffled(model.links("references").select(file_part("dst").alias("dst")).distinct()), "dst", "left_semi").select(F.col("dst").alias("id"))
     seeds = entries(model).union(outside).distinct().select(F.lit("entries").alias("seed"), "id")
     return reach(seeds, steps).select("id")
 
@@ -364,7 +364,7 @@ def unreachable(model: Model) -> DataFrame:
     start = entries(model)
     if start.isEmpty():
         return code.limit(0)
-    return code.join(reachable(model), "id", "left_anti").join(start, "id", "left_anti")
+    return code.join(shuffled(reachable(model)), "id", "left_anti").join(shuffled(start), "id", "left_anti")
 
 
 def untested(model: Model, level: str = "package") -> DataFrame:
