@@ -401,7 +401,7 @@ def deployable_closure(model: Model) -> DataFrame:
     """(src, dst, via): ``part_of`` of deployables, direct or over imports."""
     direct = members(model, "deployable").select(F.col("container").alias("seed"), F.col("file").alias("id"))
     all_ = reach(direct, model.links("imports"))
-    return all_.groupBy("seed", "id").agg(F.min("depth").alias("depth")).select(F.col("id").alias("src"), F.col("seed").alias("dst"), F.when(F.col("depth") == 0, "direct").otherwise("transitive").alias("via"))
+    return all_.select(F.col("id").alias("src"), F.col("seed").alias("dst"), F.when(F.col("depth") == 0, "direct").otherwise("transitive").alias("via"))
 
 
 def package_dependencies(model: Model) -> DataFrame:
