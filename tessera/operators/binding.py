@@ -20,13 +20,15 @@ SOURCE_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".json")
 def innermost(points: DataFrame, spans: DataFrame, key: str = "file") -> DataFrame:
     """Points (key, line) with the smallest span (key, id, start_line, end_line) that holds them, ties to the smaller id.
 
-    Spans are dealt into buckets of lines, so a large file is not compared with all its lines.
+    Spans are dealt into buckets of lines, so a large file is not compared with all its lines;
+    of spans with the same lines only the smallest id takes part.
     """
+    spans = spans.groupBy(key, "start_line", "end_line").agg(F.min("id").alias("id"))
     bucket = F.floor(F.col("line") / BUCKET_LINES)
     wide = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_line") / BUCKET_LINES), F.floor(F.col("end_line") / BUCKET_LINES))))
-    near = points.select(key, "line").distinct().withColumn("bucket", bucket).join(wide, [key, "bucket"]).filter("line between start_line and end_line")
+    near = shuffled(points.select(key, "line").distinct()).withColumn("bucket", bucket).join(wide, [key, "bucket"]).filter("line between start_line and end_line")
     best = near.groupBy(key, "line").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), F.col("id"))).alias("best"))
-    return points.join(best.select(key, "line", F.col("best.id").alias("symbol")), [key, "line"], "left")
+    return shuffled(points).join(best.select(key, "line", F.col("best.id").alias("symbol")), [key, "line"], "left")
 
 
 def directories(path: Column) -> Column:

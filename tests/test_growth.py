@@ -71,3 +71,11 @@ def test_production_imports_send_no_files_to_the_driver(spark):
     model = Model.of(spark, nodes=nodes, edges=spark.createDataFrame([("a", "b", "imports"), ("t", "a", "imports")], "src string, dst string, kind string"))
     out = G.production_imports(model)
     assert [tuple(r) for r in out.collect()] == [("a", "b")] and broadcasts(out) == []
+
+
+def test_spans_of_the_same_lines(spark):
+    n = 2000
+    spans = spark.range(n).select(F.lit("f").alias("file"), "id", F.lit(1).alias("start_line"), F.lit(20).alias("end_line")).union(spark.createDataFrame([("f", n, 5, 6), ("f", n + 1, 5, 6)], "file string, id long, start_line int, end_line int"))
+    points = spark.createDataFrame([("f", k) for k in range(1, 22)], "file string, line int")
+    out, most = most_rows(B.innermost(points, spans))
+    assert {r["line"]: r["symbol"] for r in out} == {k: n if k in (5, 6) else 0 if k < 21 else None for k in range(1, 22)} and most <= n + 2
