@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.lineage import materialise, shuffled
+from tessera.lineage import kept, materialise, shuffled
 from tessera.model import file_part
 
 #: Lines of a bucket for range joins.
 BUCKET_LINES = 256
+#: Uses of tables that one task counts, about.
+USES_A_TASK = 1 << 19
 SOURCE_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".json")
+#: Endings of a specifier that can stand for a TypeScript file.
+JS_ENDINGS = (".js", ".jsx", ".mjs", ".mjsx", ".cjs", ".cjsx")
 
 
 # --- ranges and ancestors --------------------------------------------------------------------
@@ -276,11 +280,14 @@ def use_tables(uses: DataFrame, tables: DataFrame) -> DataFrame:
     """reads_table / writes_table edges of uses (src, verb, name, line); tables: id, name, aliases.
 
     A name means a table by its name, its aliases (models), or its singular or plural form; the first
-    in order of id wins.
+    in order of id wins. A schema's tables are few and each is used in many places, so they go to
+    all tasks; uses are dealt by src before they are counted, ``USES_A_TASK`` to a task.
     """
     forms = F.array_distinct(F.concat(F.array(F.lower("name")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower), F.array(F.concat(F.lower("name"), F.lit("s")), F.regexp_replace(F.lower("name"), "s$", ""))))
     alias = tables.select("id", F.posexplode(forms).alias("place", "key")).groupBy("key").agg(F.min(F.struct("place", "id")).alias("best")).select("key", F.col("best.id").alias("dst"))
-    rows = uses.withColumn("key", F.lower(F.element_at(F.split("name", r"\."), -1))).join(alias, "key")
+    uses, many = kept(uses.select("src", "verb", "name", "line"), "uses")
+    uses = uses.repartition(1 + many // USES_A_TASK, "src")
+    rows = uses.withColumn("key", F.lower(F.element_at(F.split("name", r"\."), -1))).join(F.broadcast(alias), "key")
     kind = F.when(F.upper("verb").isin("FROM", "JOIN", "SELECT", "READ"), "reads_table").otherwise("writes_table")
     return rows.groupBy("src", "dst", kind.alias("kind")).agg(F.count(F.lit(1)).cast("int").alias("weight"), F.to_json(F.struct(F.sort_array(F.collect_set("line")).alias("locations"))).alias("attrs")).withColumn("source", F.lit("data"))
 

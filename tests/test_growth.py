@@ -79,3 +79,10 @@ def test_spans_of_the_same_lines(spark):
     points = spark.createDataFrame([("f", k) for k in range(1, 22)], "file string, line int")
     out, most = most_rows(B.innermost(points, spans))
     assert {r["line"]: r["symbol"] for r in out} == {k: n if k in (5, 6) else 0 if k < 21 else None for k in range(1, 22)} and most <= n + 2
+
+
+def test_uses_of_one_table_are_dealt_by_their_source(spark, monkeypatch):
+    monkeypatch.setattr(B, "USES_A_TASK", 100, raising=False)
+    uses = spark.range(1000).select((F.col("id") % 250).alias("src"), F.lit("FROM").alias("verb"), F.lit("public.Orders").alias("name"), F.col("id").cast("int").alias("line"))
+    out = B.use_tables(uses, spark.createDataFrame([("t:o", "orders", None)], "id string, name string, aliases array<string>"))
+    assert {(r["src"], r["weight"]) for r in out.collect()} == {(k, 4) for k in range(250)} and out.rdd.getNumPartitions() == 11
