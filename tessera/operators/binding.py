@@ -61,14 +61,32 @@ def normalise_path(path: Column) -> Column:
     return F.when(~F.exists(out, lambda s: s == "\0"), F.array_join(out, "/"))
 
 
-def _endings(stem: Column) -> Column:
-    """Files that a module path can mean, best first."""
-    js = F.regexp_replace(stem, r"\.(m|c)?jsx?$", "")
-    given = [stem]
-    typed = [F.when(js != stem, F.concat(js, F.lit(e))) for e in (".ts", ".tsx")]
-    added = [F.concat(stem, F.lit(e)) for e in SOURCE_ENDINGS]
-    index = [F.concat(stem, F.lit("/index" + e)) for e in SOURCE_ENDINGS[:4]]
-    return F.filter(F.array(*given, *typed, *added, *index), lambda x: x.isNotNull())
+def _beside(folder: str, spec: str) -> Column:
+    """The normalised path of a relative specifier; ups before plain segments, as most are, need no lists."""
+    plain = r"[^./][^/]*(?:/[^./][^/]*)*$"
+    ups, depth = F.length(F.regexp_extract(spec, r"^((?:\.\./)*)", 1)) / 3, F.size(F.split(folder, "/"))
+    rest = F.regexp_replace(spec, r"^(?:(?:\.\./)+|\./)", "")
+    above = F.expr(f"substring_index({folder}, '/', cast(size(split({folder}, '/')) - length(regexp_extract({spec}, '^((?:[.][.]/)*)', 1)) / 3 as int))")
+    whole = normalise_path(F.concat_ws("/", folder, spec))
+    simple = F.col(folder).rlike("^" + plain) & F.col(spec).rlike(r"^(?:(?:\.\./)+|\./)" + plain)
+    return F.when(~simple, whole).when(ups == depth, rest).when(ups < depth, F.concat(above, F.lit("/"), rest))
+
+
+def _meant(path: Column) -> Column:
+    """(stem, place) of the module paths that can mean a file; of the files that a stem means the least place is the best."""
+    out = [F.struct(path.alias("stem"), F.lit(0).alias("place"))]
+
+    def ending(end: str, place: int, *after: str) -> None:
+        stem = F.substring(path, F.lit(1), F.length(path) - len(end))
+        out.extend(F.when(F.endswith(path, F.lit(end)), F.struct(F.concat(stem, F.lit(x)).alias("stem"), F.lit(place).alias("place"))) for x in after or ("",))
+
+    for k, e in enumerate((".ts", ".tsx")):
+        ending(e, 1 + k, *JS_ENDINGS)
+    for k, e in enumerate(SOURCE_ENDINGS):
+        ending(e, 3 + k)
+    for k, e in enumerate(SOURCE_ENDINGS[:4]):
+        ending("/index" + e, 11 + k)
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -78,33 +96,37 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     hold everywhere, root (of those whose root is above the importer the longest prefix wins,
     then the deepest root).
     Relative ones start at the importer's directory; bare ones go through aliases; dotted
-    Python modules are tried from every directory above the importer. Distinct pairs of
-    directory and specifier are resolved once.
+    Python modules are tried from every directory above the importer. Files are listed under
+    each stem that can mean them, so a specifier meets its file by one equality.
     """
+    imports = materialise(imports.select("src", "path", "spec"), "asked")
     rows = imports.withColumn("dir", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-    asked = rows.select("dir", "spec").distinct()
     relative = F.col("spec").startswith("./") | F.col("spec").startswith("../") | F.col("spec").isin(".", "..")
-    a = asked.filter(relative).select("dir", "spec", F.posexplode(_endings(normalise_path(F.concat_ws("/", "dir", "spec")))).alias("place", "path"))
+    meant = files.select(F.col("id").alias("dst"), F.inline(_meant(F.col("path")))).groupBy("stem").agg(F.min(F.struct("place", "dst")).alias("best"))
+    a = shuffled(rows.filter(relative & F.col("dir").isNotNull()).select("src", "spec", _beside("dir", "spec").alias("stem")))
+    a = a.join(meant, "stem").select("src", "spec", F.col("best.dst").alias("dst"))
+    rows = rows.filter(~relative)
+    asked = rows.select("dir", "spec").distinct()
     dots = F.length(F.regexp_extract("spec", r"^(\.+)", 1))
     module = F.regexp_replace(F.regexp_replace("spec", r"^\.+", ""), r"\.", "/")
-    python = asked.filter(F.col("spec").rlike(r"^\.*[A-Za-z_][\w.]*$") & ~relative)
+    python = asked.filter(F.col("spec").rlike(r"^\.*[A-Za-z_][\w.]*$"))
     base = F.reverse(directories(F.concat("dir", F.lit("/x"))))
     starts = F.when(dots > 0, F.slice(base, F.greatest(dots, F.lit(1)), 1)).otherwise(base)
     stems = F.flatten(F.transform(starts, lambda d: F.array(F.ltrim(F.concat(d, F.lit("/"), module, F.lit(".py")), F.lit("/")), F.ltrim(F.concat(d, F.lit("/"), module, F.lit("/__init__.py")), F.lit("/")))))
     b = python.select("dir", "spec", F.posexplode(stems).alias("place", "path")).withColumn("place", F.col("place") + 1000)
-    out = a.unionByName(b)
+    out = b.join(files.select(F.col("id").alias("dst"), "path"), "path").select("dir", "spec", "place", "dst")
     if aliases is not None:
         aliases = aliases if "root" in aliases.columns else aliases.withColumn("root", F.lit(""))
         # Every beginning of a specifier, so that prefixes meet by equality.
         begins = F.transform(F.sequence(F.lit(0), F.length("spec")), lambda k: F.substring("spec", 1, k))
-        hit = asked.filter(~relative).withColumn("prefix", F.explode(begins)).join(aliases, "prefix")
+        hit = asked.withColumn("prefix", F.explode(begins)).join(aliases, "prefix")
         hit = hit.filter((F.col("root") == "") | (F.col("dir") == F.col("root")) | F.col("dir").startswith(F.concat("root", F.lit("/"))))
         hit = hit.groupBy("dir", "spec").agg(F.max(F.struct(F.length("prefix").alias("n"), F.length("root").alias("r"), "prefix", "target")).alias("best"))
         hit = hit.select("dir", "spec", "best.prefix", "best.target")
         stem = normalise_path(F.concat("target", F.expr("substring(spec, length(prefix) + 1)")))
-        out = out.unionByName(hit.select("dir", "spec", F.posexplode(_endings(stem)).alias("place", "path")).withColumn("place", F.col("place") + 500))
-    known = out.join(files.select(F.col("id").alias("dst"), "path"), "path").groupBy("dir", "spec").agg(F.min(F.struct("place", "dst")).alias("best"))
-    return rows.join(known.select("dir", "spec", F.col("best.dst").alias("dst")), ["dir", "spec"]).select("src", "spec", "dst")
+        out = out.unionByName(hit.select("dir", "spec", stem.alias("stem")).join(meant, "stem").select("dir", "spec", (F.col("best.place") + 500).alias("place"), "best.dst"))
+    known = out.groupBy("dir", "spec").agg(F.min(F.struct("place", "dst")).alias("best"))
+    return a.unionByName(rows.join(known.select("dir", "spec", F.col("best.dst").alias("dst")), ["dir", "spec"]).select("src", "spec", "dst"))
 
 
 def follow_reexports(asked: DataFrame, reexports: DataFrame, exports: DataFrame | None = None) -> DataFrame:

@@ -81,6 +81,15 @@ def test_spans_of_the_same_lines(spark):
     assert {r["line"]: r["symbol"] for r in out} == {k: n if k in (5, 6) else 0 if k < 21 else None for k in range(1, 22)} and most <= n + 2
 
 
+def test_endings_of_imports(spark):
+    files = spark.createDataFrame([(p, p) for p in ("a/x.ts", "a/x.tsx", "a/x.js", "a/y.jsx", "a/z/index.ts", "a/z.json", "a/w/index.tsx", "a/v.mjs.ts", "top.ts")], "id string, path string")
+    want = {"./x": "a/x.ts", "./x.js": "a/x.js", "./x.mjs": "a/x.ts", "./y": "a/y.jsx", "./y.js": None, "./z": "a/z.json", "./w": "a/w/index.tsx", "./v.mjs": "a/v.mjs.ts", "../top": "top.ts", "../../top": None, "./x.ts": "a/x.ts", "././x": "a/x.ts", ".././a/x": "a/x.ts", "../a/./z/../y": "a/y.jsx", ".//x": "a/x.ts", "..": None}
+    asked = spark.createDataFrame([("i", "a/i.ts", s) for s in want], "src string, path string, spec string")
+    out, most = most_rows(B.resolve_imports(asked, files))
+    assert {r["spec"]: r["dst"] for r in out} == {k: v for k, v in want.items() if v}
+    assert most_rows(B.resolve_imports(spark.range(3000).select(F.lit("i").alias("src"), F.lit("a/i.ts").alias("path"), F.concat(F.lit("./m"), "id").alias("spec")), files))[1] <= 3000
+
+
 def test_uses_of_one_table_are_dealt_by_their_source(spark, monkeypatch):
     monkeypatch.setattr(B, "USES_A_TASK", 100, raising=False)
     uses = spark.range(1000).select((F.col("id") % 250).alias("src"), F.lit("FROM").alias("verb"), F.lit("public.Orders").alias("name"), F.col("id").cast("int").alias("line"))
